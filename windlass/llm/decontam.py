@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bytesops import batches, packs, span_hashes, spans, texts
@@ -139,6 +139,16 @@ def _union(starts: list[list[int]], ends: list[list[int]]) -> list[tuple[int, in
     return list(zip(s.tolist(), e.tolist(), strict=True))
 
 
+def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator:
+    """The items, in broadcasts of about block_bytes each."""
+    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("text"))
+    size = items.agg(F.sum(F.length("text"))).first()[0] or 0
+    n = max(1, -(-size // block_bytes))
+    for k in range(n):
+        part = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k) if n > 1 else items
+        yield benchmark.sparkSession.sparkContext.broadcast([(x.item, bytes(x.text)) for x in part.toLocalIterator()])
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, *, window: int = 10, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Which documents hold windows of benchmark items, and where.
 
@@ -159,19 +169,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, window: int = 10, bl
     text "null"; equal item_ids count once. Repeated documents each have their row,
     and rows with equal doc_id and text are alike. Extra columns are ignored.
     """
-    spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_key"))
-    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("text"))
-    size = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    blocks = max(1, -(-size // block_bytes))
-    found = []
-    for k in range(blocks):
-        part = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k) if blocks > 1 else items
-        block = spark.sparkContext.broadcast([(x.item, bytes(x.text)) for x in part.toLocalIterator()])
-        found.append(rows.mapInArrow(_scanner(block, window), _SCHEMA))
-    if blocks == 1:
+    found = [rows.mapInArrow(_scanner(block, window), _SCHEMA) for block in _blocks(benchmark, block_bytes)]
+    if len(found) == 1:
         return _finish(found[0])
-    scratch = Scratch(spark, "contamination")
+    scratch = Scratch(docs.sparkSession, "contamination")
     cut = [scratch.cut(f.dropDuplicates(["doc_id", "text_key"]), f"block{k}") for k, f in enumerate(found)]
     both = cut[0]
     for f in cut[1:]:
@@ -184,5 +186,20 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, window: int = 10, bl
     return _finish(keys.join(merged, F.col("d").eqNullSafe(F.col("doc_id")) & F.col("t").eqNullSafe(F.col("text_key"))).drop("d", "t"))
 
 
+def _holds(block, window: int) -> Column:
+    def holds(text: pa.Array) -> pa.Array:
+        q, values = _Queries(block.value, window), texts(text)
+        return pa.array([len(found[1]) > 0 for i, j in packs(values, SHARD_BYTES) for found in _search(values[i:j], q)], pa.bool_())
+
+    return F.arrow_udf(holds, "boolean")("text")
+
+
+def remove_contaminated(docs: DataFrame, benchmark: DataFrame, *, window: int = 10, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The documents, with all their columns, in which :func:`contamination` finds nothing."""
+    for block in _blocks(benchmark, block_bytes):
+        docs = docs.where(~_holds(block, window))
+    return docs
+
+
 def items_digest(items: list[str]) -> str:
     return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()

@@ -45,11 +45,40 @@ def source_targets(totals: DataFrame, *, weights: tuple[int, ...] = (5, 2, 1), s
     )
 
 
-def mix_sources(docs: DataFrame, *, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, cap: float = 2.0) -> DataFrame:
+def mix_limits(narrow: DataFrame, scratch: Scratch, *, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, cap: float = 2.0) -> DataFrame:
+    """``(source, size, h)`` to a row for each source: ``s, total, target, whole, cut``.
+
+    A document is taken ``whole`` times, and once more if its hash is under ``cut``.
+    """
+    totals = narrow.groupBy("source").agg(F.sum("size").alias("total"))
+    state = source_targets(totals, weights=weights, share=share, cap=cap)
+    whole = F.when(F.col("total") > 0, F.floor(F.col("target") / F.col("total"))).otherwise(F.lit(0)).cast("long")
+    state = state.withColumn("whole", whole).withColumn("rest", F.col("target") - F.col("whole") * F.col("total")).withColumn("prefix", F.lit(0).cast("long"))
+    state = plan = scratch.cut(state, "plan")
+    by_bucket = Window.partitionBy("source").orderBy("bucket")
+    for level in range(LEVELS):
+        shift = (LEVELS - 1 - level) * BITS
+        s = state.select(F.col("source").alias("s"), "prefix", "rest").where("rest > 0")
+        inside = narrow.join(s, F.col("source").eqNullSafe(F.col("s")) & (F.shiftright("h", shift + BITS) == F.col("prefix")))
+        sums = inside.groupBy("source", "prefix", "rest", F.shiftright("h", shift).alias("bucket")).agg(F.sum("size").alias("inside"))
+        upto = sums.withColumn("upto", F.sum("inside").over(by_bucket)).where("upto >= rest AND upto - inside < rest")
+        state = scratch.cut(upto.select("source", F.col("bucket").alias("prefix"), (F.col("rest") - (F.col("upto") - F.col("inside"))).alias("rest"), "inside"), f"level{level}")
+    nearer = F.when(F.col("inside") - F.col("rest") <= F.col("rest"), F.lit(1)).otherwise(F.lit(0))
+    cuts = state.select(F.col("source").alias("c"), (F.col("prefix") + nearer).alias("cut"))
+    limits = plan.select(F.col("source").alias("s"), "total", "target", "whole").join(cuts, F.col("s").eqNullSafe(F.col("c")), "left")
+    return limits.select("s", "total", "target", "whole", F.coalesce("cut", F.lit(0)).alias("cut"))
+
+
+def _passes() -> Column:
+    return F.col("whole") + F.when(F.col("h") < F.col("cut"), F.lit(1)).otherwise(F.lit(0))
+
+
+def mix_sources(docs: DataFrame, **settings) -> DataFrame:
     """Choose documents so that each source's words come near its target.
 
     Returns ``doc_id, source, size, source_size, target, passes, taken``: passes is how
-    often the document is taken (0 up to cap), taken = passes x size.
+    often the document is taken (0 up to cap), taken = passes x size. Settings are those
+    of :func:`source_targets`.
 
     A source whose target is k whole totals and a rest takes every document k times,
     and once more those whose hash lies under a threshold. The threshold is found
@@ -65,26 +94,21 @@ def mix_sources(docs: DataFrame, *, weights: tuple[int, ...] = (5, 2, 1), share:
     table gives an empty result; other columns are ignored.
     """
     scratch = Scratch(docs.sparkSession, "mix")
-    narrow = scratch.cut(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), order_hash(F.col("doc_id")).alias("h")), "sizes")
-    totals = narrow.groupBy("source").agg(F.sum("size").alias("total"))
-    state = source_targets(totals, weights=weights, share=share, cap=cap)
-    whole = F.when(F.col("total") > 0, F.floor(F.col("target") / F.col("total"))).otherwise(F.lit(0)).cast("long")
-    state = state.withColumn("whole", whole).withColumn("rest", F.col("target") - F.col("whole") * F.col("total")).withColumn("prefix", F.lit(0).cast("long"))
-    state = plan = scratch.cut(state, "plan")
-    by_bucket = Window.partitionBy("source").orderBy("bucket")
-    for level in range(LEVELS):
-        shift = (LEVELS - 1 - level) * BITS
-        s = state.select(F.col("source").alias("s"), "prefix", "rest").where("rest > 0")
-        inside = narrow.join(s, F.col("source").eqNullSafe(F.col("s")) & (F.shiftright("h", shift + BITS) == F.col("prefix")))
-        sums = inside.groupBy("source", "prefix", "rest", F.shiftright("h", shift).alias("bucket")).agg(F.sum("size").alias("inside"))
-        upto = sums.withColumn("upto", F.sum("inside").over(by_bucket)).where("upto >= rest AND upto - inside < rest")
-        state = scratch.cut(upto.select("source", F.col("bucket").alias("prefix"), (F.col("rest") - (F.col("upto") - F.col("inside"))).alias("rest"), "inside"), f"level{level}")
-    nearer = F.when(F.col("inside") - F.col("rest") <= F.col("rest"), F.lit(1)).otherwise(F.lit(0))
-    cuts = state.select(F.col("source").alias("c"), (F.col("prefix") + nearer).alias("cut"))
-    limits = plan.select(F.col("source").alias("s"), "total", "target", "whole").join(cuts, F.col("s").eqNullSafe(F.col("c")), "left").drop("c")
-    passes = F.col("whole") + F.when(F.col("h") < F.coalesce("cut", F.lit(0)), F.lit(1)).otherwise(F.lit(0))
+    narrow = scratch.cut(_narrow(docs, "doc_id"), "sizes")
     return (
-        narrow.join(limits, F.col("source").eqNullSafe(F.col("s")))
-        .withColumn("passes", passes)
+        narrow.join(mix_limits(narrow, scratch, **settings), F.col("source").eqNullSafe(F.col("s")))
+        .withColumn("passes", _passes())
         .select("doc_id", "source", "size", F.col("total").alias("source_size"), "target", "passes", (F.col("passes") * F.col("size")).alias("taken"))
     )
+
+
+def take_mix(docs: DataFrame, **settings) -> DataFrame:
+    """The documents, with all their columns, each as often as :func:`mix_sources` takes it."""
+    scratch = Scratch(docs.sparkSession, "mix")
+    limits = mix_limits(scratch.cut(_narrow(docs), "sizes"), scratch, **settings)
+    rows = docs.select(F.struct("*").alias("row"), "source", order_hash(F.col("doc_id")).alias("h")).join(limits, F.col("source").eqNullSafe(F.col("s")))
+    return rows.select("row", F.explode(F.array_repeat(F.lit(0), _passes().cast("int")))).select("row.*")
+
+
+def _narrow(docs: DataFrame, *more: str) -> DataFrame:
+    return docs.select(*more, "source", word_count(F.col("text")).alias("size"), order_hash(F.col("doc_id")).alias("h"))

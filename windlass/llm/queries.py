@@ -23,6 +23,18 @@ def op2_remove_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(_table(spark, sf_dir, "documents"), with_text=False).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import quality_scores
+
+    return quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op4_extract_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .extraction import extract_text
+
+    return extract_text(_table(spark, sf_dir, "pages"))
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
     from .tokenfiles import token_files
 
@@ -33,6 +45,12 @@ def op5_token_files(spark: SparkSession, sf_dir: str, tokenizer: str | None = No
     return token_files(_table(spark, sf_dir, "documents"), tokenizer)
 
 
+def op6_scan_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .licenses import scan_licenses
+
+    return scan_licenses(_table(spark, sf_dir, "documents"))
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontam import contamination
 
@@ -40,6 +58,14 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from .neighbours import nearest
+
+    return nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import functions as F
 
@@ -48,8 +74,14 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents")).select("doc_id", hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pitmanyor import score_documents
+
+    return score_documents(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mix_sources, op2_remove_repeats, op5_token_files, op7_decontaminate, op9_simhash)}
+    return {f.__name__: f for f in (op1_mix_sources, op2_remove_repeats, op3_quality, op4_extract_text, op5_token_files, op6_scan_licenses, op7_decontaminate, op8_nearest, op9_simhash, op10_language_model)}
 
 
 _OP1 = r"""

@@ -31,16 +31,23 @@ def shared_root(spark: SparkSession) -> str:
 class Scratch:
     """One operator call's folder under :func:`shared_root`."""
 
-    _open: list["Scratch"] = []
+    #: All that this process has opened, in order.
+    opened: list["Scratch"] = []
 
     def __init__(self, spark: SparkSession, name: str) -> None:
         self.spark = spark
         self.path = f"{shared_root(spark)}/windlass/{name}-{uuid.uuid4().hex}"
-        Scratch._open.append(self)
+        Scratch.opened.append(self)
 
     def cut(self, df: DataFrame, tag: str) -> DataFrame:
-        path = f"{self.path}/{tag}"
-        df.write.option("compression", "zstd").parquet(path)
+        """Write df and read it back; its shuffle files go once it is written."""
+        path, key = f"{self.path}/{tag}", "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+        before = self.spark.conf.get(key, None)
+        self.spark.conf.set(key, "true")
+        try:
+            df.write.option("compression", "zstd").parquet(path)
+        finally:
+            self.spark.conf.unset(key) if before is None else self.spark.conf.set(key, before)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, tag: str = "") -> None:
@@ -48,9 +55,3 @@ class Scratch:
         jvm = self.spark.sparkContext._jvm
         path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{tag}" if tag else self.path)
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-    @classmethod
-    def drop_all(cls) -> None:
-        """Remove what every call so far has left: for a pipeline whose stage results are written."""
-        while cls._open:
-            cls._open.pop().drop()
