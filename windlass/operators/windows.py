@@ -1,21 +1,68 @@
-"""Count windows: consecutive rows of a group, in order, without overlap."""
+"""Count windows: consecutive rows of a recording, in order, without overlap."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.nulls import finite
 
-def count_windows(df: DataFrame, *, group: str, order: list[Column], size: int = 128, least: int = 32) -> DataFrame:
-    """Number each group's rows in order, cut every ``size`` rows, drop tails under ``least``.
+SIZE, LEAST = 128, 32
+META = ["split_group_id", "traffic_label", "source_name", "tool_label", "scenario_type", "evaluation_subset"]
 
-    Adds ``window_number``, ``pos`` (from 0 within the window) and ``window_tx_count``. Only
-    a group's last window can be short, so its size follows from the group's row count;
-    ranking and counting share one shuffle by group.
+
+def numbered(df: DataFrame, *, group: str, order: list[Column], size: int = SIZE) -> DataFrame:
+    """Adds ``window_number``, ``pos`` (from 0 within the window) and ``window_tx_count``.
+
+    Only a group's last window can be short, so its size follows from the group's row
+    count; ranking and counting share one shuffle by group.
     """
     by = Window.partitionBy(group)
-    rn = F.row_number().over(by.orderBy(*order)) - 1
-    out = df.withColumn("_rn", rn).withColumn("_n", F.count(F.lit(1)).over(by))
+    out = df.withColumn("_rn", F.row_number().over(by.orderBy(*order)) - 1).withColumn("_n", F.count(F.lit(1)).over(by))
     out = out.withColumn("window_number", F.floor(F.col("_rn") / size).cast("long")).withColumn("pos", (F.col("_rn") % size).cast("int"))
-    out = out.withColumn("window_tx_count", F.least(F.lit(size).cast("long"), F.col("_n") - F.col("window_number") * size))
-    return out.where(F.col("window_tx_count") >= least).drop("_rn", "_n")
+    return out.withColumn("window_tx_count", F.least(F.lit(size).cast("long"), F.col("_n") - F.col("window_number") * size)).drop("_rn", "_n")
+
+
+def count_windows(df: DataFrame, *, group: str, order: list[Column], size: int = SIZE, least: int = LEAST) -> DataFrame:
+    """:func:`numbered` rows of the windows with at least ``least`` rows."""
+    return numbered(df, group=group, order=order, size=size).where(F.col("window_tx_count") >= least)
+
+
+def recording_order() -> list[Column]:
+    """By time, what is no number last, ties by input order."""
+    return [finite(F.col("request_timestamp")).asc_nulls_last(), F.col("ingest_seq")]
+
+
+def sample_id(split: Column, group: Column, window: Column) -> Column:
+    return F.concat(split, F.lit("-"), F.substring(F.sha2(group, 256), 1, 16), F.lit("-"), F.lpad(window.cast("string"), 6, "0"))
+
+
+def recording_windows(canonical: DataFrame, *, size: int = SIZE, least: int = LEAST) -> DataFrame:
+    """Canonical rows of all windows kept, with their ``sample_id``."""
+    out = count_windows(canonical, group="split_group_id", order=recording_order(), size=size, least=least)
+    return out.withColumn("sample_id", sample_id(F.col("split"), F.col("split_group_id"), F.col("window_number")))
+
+
+def manifest(windowed: DataFrame) -> DataFrame:
+    """A row a window: keys, first row's strata, size, first and last timestamp."""
+    first = [F.min_by(c, "pos").alias(c) for c in META]
+    return windowed.groupBy("sample_id").agg(
+        F.first("split").alias("split"), *first, F.first("window_number").alias("window_number"), F.first("window_tx_count").alias("window_tx_count"),
+        F.min_by("request_timestamp", "pos").alias("window_start_timestamp"), F.max_by("request_timestamp", "pos").alias("window_end_timestamp"),
+    )
+
+
+def excluded(canonical: DataFrame, *, size: int = SIZE, least: int = LEAST) -> DataFrame:
+    """Recordings that give no window: their first window is short, and so is all of them."""
+    n = canonical.groupBy("split", "split_group_id").agg(F.count("*").alias("transactions"))
+    return n.where(F.col("transactions") < least).withColumn("reason", F.lit(f"fewer than {least} transactions"))
+
+
+def one_window(windowed: DataFrame, group: str, number: int) -> DataFrame:
+    """The rows of one window of a recording."""
+    return windowed.where((F.col("split_group_id") == group) & (F.col("window_number") == number)).orderBy("pos")
+
+
+def first_per_group(df: DataFrame, group: list[str], order: list[Column], n: int) -> DataFrame:
+    """The first n rows of each group in order."""
+    return df.withColumn("_r", F.row_number().over(Window.partitionBy(*group).orderBy(*order))).where(F.col("_r") <= n).drop("_r")
