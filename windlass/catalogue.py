@@ -203,12 +203,12 @@ def _scaled_sql(x: str, rule: str, scaler: str, feature: str) -> str:
 _SCALED = ["query_name_len_mean", "query_entropy_p95", "transaction_bytes_p95", "response_time_std", "unique_subdomain_ratio", "top_base_domain_share", "iat_cv", "qtype_txt_ratio", "high_query_entropy_ratio"]
 
 
-@query(f"WITH {_FW}{_TAB}{_TAB_SCALER} SELECT sample_id, " + ", ".join(f"round({_scaled_sql(f, _TAB_RULES[f], 'tabs', f)}, 3) AS {f}" for f in _SCALED) + " FROM tab")
+@query(f"WITH {_FW}{_TAB}{_TAB_SCALER} SELECT sample_id, " + ", ".join(f"round({_scaled_sql(f, _TAB_RULES[f], 'tabs', f)}, 3) + 0.0::DOUBLE AS {f}" for f in _SCALED) + " FROM tab")
 def scale_tabular(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scaled features (compared before they become floats' last digits)."""
     tab = tabular(spark, sf_dir)
-    fitted = [r for r in scaling.fit_features(tab, _SCALED)]
-    return tab.select("sample_id", *(F.round(F.coalesce(finite(_z(F.col(r["feature"]), r)), F.lit(0.0)), 3).alias(r["feature"]) + 0.0 for r in fitted)).toDF("sample_id", *_SCALED)
+    fitted = scaling.fit_features(tab, _SCALED)
+    return tab.select("sample_id", *((F.round(F.coalesce(finite(_z(F.col(r["feature"]), r)), F.lit(0.0)), 3) + 0.0).alias(r["feature"]) for r in fitted))
 
 
 def _z(x: Column, r: dict) -> Column:
@@ -573,6 +573,72 @@ def exact_binomial(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.recording_intervals(metrics.recordings(detections(spark, sf_dir)).withColumn("prediction", (F.col("score") >= 0.8).cast("int")))
 
 
+# --- detectors -----------------------------------------------------------------------------------------------
+
+_MODEL_NAMES = [f for f in features.CORE if f != "iat_cv"] + ["iat_cv"]
+
+
+def scored_splits(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Scaled core features with label and recording weight: the train split, and all."""
+    tab = tabular(spark, sf_dir)
+    tab = scaling.apply(tab, scaling.fit_features(tab, features.CORE))
+    return sampling.recording_weights(tab.where("split = 'train'")), tab
+
+
+@query()
+def rf_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Random forest: fitted on train, scores of all windows."""
+    from .models.forest import fit_forest, score_forest
+
+    train, everything = scored_splits(spark, sf_dir)
+    model, fill = fit_forest(train, _MODEL_NAMES, trees=20, depth=6)
+    return score_forest(model, fill, everything).select("sample_id", "split", "label", "score")
+
+
+@query()
+def iforest_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Isolation forest: fitted on benign train windows, scores of all windows."""
+    from .models.isolation import fit_isolation, score_isolation
+
+    train, everything = scored_splits(spark, sf_dir)
+    return score_isolation(fit_isolation(train, _MODEL_NAMES, per_recording=8, trees=100), everything).select("sample_id", "split", "label", "score")
+
+
+def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return windows.manifest(windowed(spark, sf_dir)).withColumn("label", (F.col("traffic_label") == "malicious").cast("int")).select("sample_id", "split", "split_group_id", "label")
+
+
+def _trained(net, data, rows: DataFrame, spark: SparkSession, sf_dir: str, epochs: int) -> DataFrame:
+    """Train on at most 2,000 train windows by hash order, choose the epoch on at most 1,000 validation ones, score all."""
+    from .models import networks
+
+    labelled = rows.join(_labels(spark, sf_dir), "sample_id")
+    some = lambda split, n: labelled.where(F.col("split") == split).orderBy(F.sha2("sample_id", 256)).limit(n).toPandas()
+    fit, check = some("train", 2000), some("validation", 1000)
+    counts = fit.groupby(["label", "split_group_id"])["sample_id"].transform("count")
+    weight = 1 / (counts * fit.groupby("label")["split_group_id"].transform("nunique"))
+    networks.train(net, data.of(fit), fit["label"].to_numpy(), weight.to_numpy(), data.of(check), check["label"].to_numpy(), epochs=epochs)
+    return networks.score_network(net, rows)
+
+
+@query()
+def bilstm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sequence network, trained for a few epochs; scores of all windows."""
+    from .models.networks import BiLSTM, Sequences
+
+    return _trained(BiLSTM(hidden=8), Sequences, sequence.sequences(sequence_table(spark, sf_dir), size=SIZE), spark, sf_dir, epochs=2)
+
+
+@query()
+def sage_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Graph network, trained for a few epochs; scores of all windows."""
+    from .models.networks import Graphs, GraphSAGE
+
+    rows = sequence_table(spark, sf_dir)
+    n, e = graph.nodes(rows), graph.edges(rows)
+    return _trained(GraphSAGE(hidden=8), Graphs, graph.graphs(graph.node_features(n, e), graph.edge_list(n, e)), spark, sf_dir, epochs=2)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
