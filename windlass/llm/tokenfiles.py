@@ -6,7 +6,9 @@ import json
 import os
 import uuid
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -17,8 +19,8 @@ from pyspark.sql import functions as F
 from .bytesops import batches, texts
 from .scratch import Scratch
 
-#: Words that a worker keeps with their ids; the older half goes when it is full.
-CACHE = 250_000
+#: Words that a worker keeps with their ids before it starts anew, and the bytes above which a word is not kept.
+CACHE, LONG = 1_000_000, 48
 
 
 def _fs(uri: str):
@@ -43,36 +45,38 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.dtype = Tokenizer.from_file(path), dtype
-        self.new: dict[bytes, bytes] = {}
-        self.old: dict[bytes, bytes] = {}
+        self.tokenizer, self.kind = Tokenizer.from_file(path), {"<u2": "H", "<u4": "I"}[dtype]
+        self.known: dict[bytes, bytes] = {}
 
     def __call__(self, values: list[bytes]) -> list[bytes]:
         split = [v.split() for v in values]
-        known: dict[bytes, bytes] = {}
-        missing = []
-        for w in set().union(*split):
-            ids = self.new.get(w) or self.old.get(w)
-            if ids is None:
-                missing.append(w)
-            else:
-                known[w] = ids
-        for w, e in zip(missing, self.tokenizer.encode_batch_fast([w.decode() for w in missing], add_special_tokens=False), strict=True):
-            known[w] = np.array(e.ids, self.dtype).tobytes()
-        if len(self.new) > CACHE // 2:
-            self.old, self.new = self.new, {}
-        self.new.update((w, ids) for w, ids in known.items() if len(w) <= 48)
-        return [b"".join(map(known.__getitem__, s)) for s in split]
+        words = set().union(*split)
+        if len(self.known) > CACHE:
+            self.known = {w: ids for w in words if (ids := self.known.get(w)) is not None}
+        missing = list(words - self.known.keys())
+        encoded = self.tokenizer.encode_batch_fast([w.decode() for w in missing], add_special_tokens=False)
+        self.known.update((w, array(self.kind, e.ids).tobytes()) for w, e in zip(missing, encoded, strict=True))
+        out = [b"".join(map(self.known.__getitem__, s)) for s in split]
+        for w in missing:
+            if len(w) > LONG:
+                del self.known[w]
+        return out
+
+
+@lru_cache(maxsize=1)
+def encoder(path: str, dtype: str) -> Encoder:
+    """One for all tasks that a worker runs, so that its words stay known."""
+    return Encoder(path, dtype)
 
 
 def _writer(folder: str, path: str, end: int, dtype: str) -> Callable:
     def write(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, width, tail = Encoder(path, dtype), np.dtype(dtype).itemsize, np.array([end], dtype).tobytes()
+        encode, width, tail = encoder(path, dtype), np.dtype(dtype).itemsize, np.array([end], dtype).tobytes()
         name = f"{TaskContext.get().partitionId():08d}-{uuid.uuid4().hex}"  # a task that runs again writes files of its own
         fs, root = _fs(folder)
         n = docs = 0
         with fs.open_output_stream(f"{root}/{name}.ids") as ids, fs.open_output_stream(f"{root}/{name}.off") as off, fs.open_output_stream(f"{root}/{name}.doc") as doc:
-            for b in batches(it, 512):
+            for b in batches(it, 1024):
                 data = [x + tail for x in encode(texts(b["text"]))]
                 ends = n + np.cumsum([len(x) // width for x in data], dtype=np.int64)
                 off.write(np.concatenate(([n], ends[:-1])).astype("<i8").tobytes())
