@@ -111,9 +111,10 @@ def brute_repeats(rows, window):
     return out
 
 
-@pytest.mark.parametrize("log2_width", [29, 10])
-def test_repeats(docs, empty, log2_width):
-    same(substrings.remove_repeats(docs, log2_width=log2_width), brute_repeats(corpus(), 35))
+@pytest.mark.parametrize("cells", [4, 0.01])
+def test_repeats(docs, empty, cells, monkeypatch):
+    monkeypatch.setattr(substrings, "UNIT", 3000)
+    same(substrings.remove_repeats(docs, cells=cells), brute_repeats(corpus(), 35))
     assert substrings.remove_repeats(empty).count() == 0
 
 

@@ -14,12 +14,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytesops import batches, mix, packs, span_hashes, texts, tokens
+from .exchange import SCHEMA
+from .exchange import array as _unzip
+from .exchange import rows as _rows
+from .exchange import squeeze as _zip
 from .scratch import Scratch
 
 #: Tokens of a block; bigrams that the blocks send to a shard; words that they send to one.
@@ -28,7 +31,6 @@ BLOCK, SHARD = 1 << 21, 2_500_000
 SPLITS = 8
 _END = np.uint64(0x5851F42D4C957F2D)
 _LOWER = bytes(range(0x41)) + bytes(range(0x61, 0x7B)) + bytes(range(0x5B, 256))
-_SCHEMA = "dest long, kind int, src long, a binary, b binary, c binary, d binary"
 _TEXT, _PAIRS, _WORDS, _TABLES, _TOTALS = range(5)
 
 
@@ -45,14 +47,6 @@ class Settings:
     seed: int = 20
 
 
-def _zip(x: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x).tobytes())
-
-
-def _unzip(data: bytes, dtype: str) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), dtype)
-
-
 def _pack40(x: np.ndarray) -> bytes:
     return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
 
@@ -63,12 +57,6 @@ def _unpack40(data: bytes) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
-def _rows(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
-    columns = list(zip(*rows, strict=True)) if rows else [[]] * 7
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["dest", "kind", "src", "a", "b", "c", "d"])
-
-
 def held_out(doc_id: int | None) -> bool:
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % 7 == 2
 
@@ -337,15 +325,15 @@ def score_documents(docs: DataFrame, settings: Settings = Settings()) -> DataFra
     are told apart by 64-bit hashes in the base and by 40 bits in the restaurants.
     """
     scratch = Scratch(docs.sparkSession, "pitmanyor")
-    blocks = scratch.cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_blocks, _SCHEMA), "blocks")
+    blocks = scratch.cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_blocks, SCHEMA), "blocks")
     sizes = blocks.mapInArrow(_sizes, "train long, tokens long, words long").agg(F.sum("train"), F.sum("tokens"), F.sum("words")).first()
     total, size, words = (int(x or 0) for x in sizes)
     shards, parts = max(8, -(-size * 6 // 10 // SHARD)), max(8, -(-words // SHARD))
     n = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 8)
-    pairs = blocks.mapInArrow(_send_pairs(shards), _SCHEMA).repartition(max(n, min(shards, 4 * n)), "dest").groupBy("dest").applyInArrow(_serve_pairs(settings, parts), _SCHEMA)
+    pairs = blocks.mapInArrow(_send_pairs(shards), SCHEMA).repartition(max(n, min(shards, 4 * n)), "dest").groupBy("dest").applyInArrow(_serve_pairs(settings, parts), SCHEMA)
     pairs = scratch.cut(pairs, "pairs")
-    asked = blocks.mapInArrow(_send_words(parts), _SCHEMA).unionByName(pairs.where(F.col("kind") == _TABLES))
-    answers = scratch.cut(asked.groupBy("dest").applyInArrow(_serve_words(settings, total, parts), _SCHEMA), "words")
+    asked = blocks.mapInArrow(_send_words(parts), SCHEMA).unionByName(pairs.where(F.col("kind") == _TABLES))
+    answers = scratch.cut(asked.groupBy("dest").applyInArrow(_serve_words(settings, total, parts), SCHEMA), "words")
     sums = [np.frombuffer(r.a, "<f8") for r in answers.where(F.col("kind") == _TOTALS).select("a").toLocalIterator()]
     kinds, tables, seats = np.sum(sums, 0) if sums else (0, 0.0, 0.0)
     everything = blocks.unionByName(pairs.where(F.col("kind") == _PAIRS)).unionByName(answers.where(F.col("kind") == _WORDS))

@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,6 +30,23 @@ def shared_root(spark: SparkSession) -> str:
     return root
 
 
+#: While an operator runs a job of its own: small Arrow batches, and no shuffle files left behind.
+RUN = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "2000"}
+
+
+@contextmanager
+def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """Session settings for the jobs run inside."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 class Scratch:
     """One operator call's folder under :func:`shared_root`."""
 
@@ -41,13 +60,9 @@ class Scratch:
 
     def cut(self, df: DataFrame, tag: str) -> DataFrame:
         """Write df and read it back; its shuffle files go once it is written."""
-        path, key = f"{self.path}/{tag}", "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-        before = self.spark.conf.get(key, None)
-        self.spark.conf.set(key, "true")
-        try:
+        path = f"{self.path}/{tag}"
+        with settings(self.spark, RUN):
             df.write.option("compression", "zstd").parquet(path)
-        finally:
-            self.spark.conf.unset(key) if before is None else self.spark.conf.set(key, before)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, tag: str = "") -> None:
