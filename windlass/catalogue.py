@@ -323,7 +323,7 @@ def metrics_confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {_DET}, p AS (SELECT score, count(*) FILTER (label = 1) AS p, count(*) FILTER (label = 0) AS n FROM det GROUP BY score)
 SELECT round(score, 6) AS score, (sum(p) OVER (ORDER BY score DESC))::BIGINT AS tp, (sum(n) OVER (ORDER BY score DESC))::BIGINT AS fp, (sum(p) OVER ())::BIGINT AS positives, (sum(n) OVER ())::BIGINT AS negatives FROM p""")
 def metrics_roc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(metrics.roc(detections(spark, sf_dir)), 6)
+    return rounded(metrics.roc(detections(spark, sf_dir)).drop("p"), 6)
 
 
 @query(f"""WITH {_DET}, r AS (SELECT label, rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2.0::DOUBLE AS r FROM det), s AS (SELECT sum(r) FILTER (label = 1) AS r, count(*) FILTER (label = 1)::DOUBLE AS p, count(*) FILTER (label = 0)::DOUBLE AS n FROM r)

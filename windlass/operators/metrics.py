@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .prefix import running_sums
+
 MAX_FPR = 0.01
 COUNTS = ["tn", "fp", "fn", "tp"]
 RATIOS = ["accuracy", "precision", "recall", "f1", "fpr", "specificity", "balanced_accuracy", "mcc"]
@@ -42,26 +44,24 @@ def binary_metrics(df: DataFrame, by: list[str] | None = None, prediction: str =
 def roc(df: DataFrame) -> DataFrame:
     """``score, tp, fp, positives, negatives``: counts at or above each distinct score.
 
-    Scores are summed first; the running sums go over distinct scores only.
+    Scores are summed first; the running sums go over distinct scores, range by range.
     """
     per = df.groupBy("score").agg(F.count_if(F.col("label") == 1).alias("p"), F.count_if(F.col("label") == 0).alias("n"))
-    down, whole = Window.orderBy(F.desc("score")), Window.partitionBy()
-    return per.select("score", F.sum("p").over(down).alias("tp"), F.sum("n").over(down).alias("fp"), F.sum("p").over(whole).alias("positives"), F.sum("n").over(whole).alias("negatives"))
+    sums = running_sums(per, "score", ["p", "n"], descending=True)
+    return sums.select("score", F.col("p_upto").alias("tp"), F.col("n_upto").alias("fp"), F.col("p_all").alias("positives"), F.col("n_all").alias("negatives"), "p")
 
 
 def auroc(df: DataFrame) -> DataFrame:
     """``auroc`` from tie-averaged ranks; NULL without both classes."""
     per = df.groupBy("score").agg(F.count_if(F.col("label") == 1).alias("p"), F.count("*").alias("n"))
-    upto = F.sum("n").over(Window.orderBy("score"))
-    sums = per.withColumn("rank", upto - (F.col("n") - 1) / 2.0).agg(F.sum(F.col("rank") * F.col("p")).alias("r"), F.sum("p").cast("double").alias("p"), F.sum("n").cast("double").alias("n"))
+    ranked = running_sums(per, "score", ["n"]).withColumn("rank", F.col("n_upto") - (F.col("n") - 1) / 2.0)
+    sums = ranked.agg(F.sum(F.col("rank") * F.col("p")).alias("r"), F.sum("p").cast("double").alias("p"), F.sum("n").cast("double").alias("n"))
     return sums.select(F.when((F.col("p") > 0) & (F.col("n") > F.col("p")), (F.col("r") - F.col("p") * (F.col("p") + 1) / 2) / (F.col("p") * (F.col("n") - F.col("p")))).alias("auroc"))
 
 
 def average_precision(df: DataFrame) -> DataFrame:
     """``auprc``: the sum of precision times the step in recall; NULL without both classes."""
-    curve = roc(df)
-    step = F.col("tp") - F.coalesce(F.lag("tp").over(Window.orderBy(F.desc("score"))), F.lit(0))
-    terms = curve.withColumn("step", step / F.col("positives") * F.col("tp") / (F.col("tp") + F.col("fp"))).where("positives > 0 AND negatives > 0")
+    terms = roc(df).where("positives > 0 AND negatives > 0").withColumn("step", F.col("p") / F.col("positives") * F.col("tp") / (F.col("tp") + F.col("fp")))
     return terms.agg(F.sum("step").alias("auprc"))
 
 
