@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from .boosting import Boosted, fit
 from .bytesops import batches
 from .dom import Page, features, main_text, parse
+from .sampling import hash_sample
 
 #: Pages, and characters of each, that fit the classifier (chosen by hash; not a limit on what is extracted).
 SAMPLE, SAMPLE_CHARS = 160, 20_000
@@ -142,6 +143,6 @@ def extract_text(pages: DataFrame, *, sample: int = SAMPLE) -> DataFrame:
     """
     spark = pages.sparkSession
     rows = pages.select("page_id", "url", "html")
-    some = rows.where("html IS NOT NULL").select(F.substring("html", 1, SAMPLE_CHARS).alias("html"), F.xxhash64("html").alias("h")).orderBy("h").limit(sample).collect()
+    some = hash_sample(rows.where("html IS NOT NULL").select(F.substring("html", 1, SAMPLE_CHARS).alias("html")), F.col("html"), sample).collect()
     shared = spark.sparkContext.broadcast(fit_extractor([r.html for r in some]))
     return rows.mapInArrow(_extract(shared), "page_id long, url string, text string, n_chars long")

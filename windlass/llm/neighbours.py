@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .sampling import hash_sample
 from .scratch import Scratch
 
 #: Numbers that the sample on the driver may hold, and its rows.
@@ -218,7 +219,7 @@ def nearest(vectors: DataFrame, queries: Column, *, k: int = 20, parts: int = PA
     lengths = rows.where("v IS NOT NULL").groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
     dim = max(1, lengths[0].n if lengths else 1)
     rows = rows.where(_usable(F.col("v"), dim))
-    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(max(LEAST, min(SAMPLE_ROWS, SAMPLE_NUMBERS // dim))).toArrow()
+    sample = hash_sample(rows, F.col("vec_id"), max(LEAST, min(SAMPLE_ROWS, SAMPLE_NUMBERS // dim))).toArrow()
     router, probes = fit_router(_matrix(sample["v"], dim), parts=parts, k=k, recall=recall) if sample.num_rows else (None, 1)
     shared = spark.sparkContext.broadcast(router) if router else None
     homes = scratch.cut(rows.mapInArrow(_homes(shared, dim), "vec_id long, v array<double>, part int"), "homes")

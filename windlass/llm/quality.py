@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bytesops import PUNCT_TABLE, batches, packs, span_hashes, texts, tokens, window_hashes
+from .sampling import hash_sample
 from .scratch import Scratch
 
 #: Buckets of unigrams and bigrams; counts travel in blocks of 2**LOG2_BLOCK.
@@ -152,7 +153,8 @@ def fit_quality(docs: DataFrame, labels: DataFrame, *, labelled: int = LABELLED,
     scratch = scratch or Scratch(spark, "quality")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     known = labels.where("doc_id IS NOT NULL AND quality IN (0, 1)").groupBy(F.col("doc_id").cast("long").alias("d")).agg(F.min("quality").alias("quality"))
-    known = scratch.cut(known.withColumn("order", F.xxhash64("d")).orderBy("order", "d").limit(labelled).withColumn("fits", F.pmod("order", F.lit(2)) == 0).drop("order"), "known")
+    known = scratch.cut(known, "labels")
+    known = scratch.cut(hash_sample(known, F.col("d"), labelled).withColumn("fits", F.pmod(F.xxhash64("d"), F.lit(2)) == 0), "known")
     marked = rows.join(F.broadcast(known), F.col("doc_id") == F.col("d"), "left")  # at most `labelled` rows of 13 bytes
     parts = marked.select("text", (F.col("fits") & (F.col("quality") == 1)).alias("good")).mapInArrow(_count, "block long, counts binary")
     counts = np.zeros((2, 1 << LOG2_BUCKETS), np.int64)
