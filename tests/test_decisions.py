@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from windlass.functions import tails
 from windlass.operators import cascade, drift, evaluation, metrics, sampling, selection
+from windlass.operators.prefix import running_sums
 from windlass.plans import cascade as cascade_plan
 from windlass.plans import evaluate as evaluate_plan
 from windlass.sources import tables
@@ -67,6 +68,17 @@ def test_curves_against_numpy(spark):
     assert metrics.average_precision(df).first().auprc == pytest.approx(ap)
 
 
+def test_running_sums(spark):
+    rng = np.random.default_rng(7)
+    x = rng.permutation(500)
+    v = rng.integers(0, 9, 500)
+    df = spark.createDataFrame([(float(a), int(b)) for a, b in zip(x, v)], "x double, v long")
+    for down in (False, True):
+        got = {r.x: (r.v_upto, r.v_all) for r in running_sums(df, "x", ["v"], descending=down, ranges=7).collect()}
+        assert got == {float(a): (int(v[x >= a].sum() if down else v[x <= a].sum()), int(v.sum())) for a in x}
+    assert running_sums(df.limit(0), "x", ["v"]).count() == 0
+
+
 def test_strata_keep_null(spark):
     out = metrics.stratified(metrics.predicted(scores(spark, [0, 1], [0.9, 0.9]), 0.5), ["source_name", "evaluation_subset"]).collect()
     assert {(r.dimension, r.value, r.n, r.fp) for r in out} == {("source_name", "src", 2, 1), ("evaluation_subset", None, 2, 1)}

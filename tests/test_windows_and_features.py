@@ -69,6 +69,8 @@ def test_windows_do_not_depend_on_partitions(spark):
     rows = [transaction(f"g{k % 3}", k, request_timestamp=[str(k // 4), "nan", "x", None][0 if k % 11 else k % 4]) for k in range(200)]
     a, b = (windows.recording_windows(source.canonical(frame(spark, rows).repartition(n)), size=16, least=4).select("sample_id", "pos", "ingest_seq") for n in (1, 7))
     assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
+    large = windows.recording_windows(source.canonical(frame(spark, rows)), size=16, least=4, large=True).select("sample_id", "pos", "ingest_seq")
+    assert sorted(map(tuple, large.collect())) == sorted(map(tuple, a.collect()))
 
 
 def test_canonical_checks(spark, tmp_path):

@@ -11,14 +11,16 @@ from ..functions.nulls import finite
 def recording_weights(df: DataFrame) -> DataFrame:
     """Adds ``weight``: every recording of a class, and every class, has equal mass; the mean is 1.
 
-    The classes' recordings and the mean come from the per-recording counts, so no
-    window of all rows is needed.
+    A window's raw weight is 1 / (recordings of its class x windows of its recording), so each
+    class sums to 1 and the mean is classes / windows. All that is needed beside the counts by
+    recording is a row a class.
     """
     per = df.groupBy("label", "split_group_id").agg(F.count("*").alias("_n"))
-    groups = per.withColumn("_g", F.count(F.lit(1)).over(Window.partitionBy("label"))).withColumn("_w", 1 / (F.col("_g") * F.col("_n")))
-    total = Window.partitionBy()
-    scaled = groups.withColumn("weight", F.col("_w") * F.sum("_n").over(total) / F.sum(F.col("_w") * F.col("_n")).over(total))
-    return df.join(scaled.select("label", "split_group_id", "weight"), ["label", "split_group_id"])
+    classes = per.groupBy("label").agg(F.count("*").alias("_g"), F.sum("_n").alias("_m"))
+    whole = Window.partitionBy()
+    classes = classes.select(F.col("label").alias("_l"), (F.sum("_m").over(whole) / F.count(F.lit(1)).over(whole) / F.col("_g")).alias("_s"))
+    weights = per.join(F.broadcast(classes), F.col("label") == F.col("_l")).select("label", "split_group_id", (F.col("_s") / F.col("_n")).alias("weight"))
+    return df.join(weights, ["label", "split_group_id"])
 
 
 def hash_order(seed: int, *keys: str) -> Column:

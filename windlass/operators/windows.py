@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.nulls import finite
+from .prefix import RANGES
 
 SIZE, LEAST = 128, 32
 META = ["split_group_id", "traffic_label", "source_name", "tool_label", "scenario_type", "evaluation_subset"]
@@ -23,6 +24,29 @@ def numbered(df: DataFrame, *, group: str, order: list[Column], size: int = SIZE
     return out.withColumn("window_tx_count", F.least(F.lit(size).cast("long"), F.col("_n") - F.col("window_number") * size)).drop("_rn", "_n")
 
 
+def numbered_by_ranges(df: DataFrame, *, group: str, time: Column, seq: str, size: int = SIZE, ranges: int = RANGES) -> DataFrame:
+    """:func:`numbered` by (time, seq) for groups too large for one task.
+
+    Time is cut into ranges at approximate quantiles; rows are ranked within a group's
+    range and shifted by the group's counts in the ranges before. What is joined back is a
+    row for each group and range, and no task holds more than a range of a group. The
+    cuts decide where tasks split and nothing else.
+    """
+    rows = df.withColumn("_t", time)
+    found = rows.agg(F.percentile_approx("_t", F.array(*(F.lit((k + 1) / ranges) for k in range(ranges - 1))), F.lit(10_000))).first()[0] or []
+    cuts = sorted({x for x in found if x is not None})
+    place = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col("_t"))) if cuts else F.lit(0)
+    rows = rows.withColumn("_p", F.when(F.col("_t").isNull(), F.lit(len(cuts) + 1)).otherwise(place))
+    per = rows.groupBy(F.col(group).alias("_g"), F.col("_p").alias("_q")).agg(F.count("*").alias("_c"))
+    by = Window.partitionBy("_g")
+    before = F.coalesce(F.sum("_c").over(by.orderBy("_q").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    per = per.withColumn("_before", before).withColumn("_n", F.sum("_c").over(by))
+    out = rows.join(per, F.col(group).eqNullSafe(F.col("_g")) & (F.col("_p") == F.col("_q")))
+    out = out.withColumn("_rn", F.col("_before") + F.row_number().over(Window.partitionBy(group, "_p").orderBy(F.col("_t").asc_nulls_last(), seq)) - 1)
+    out = out.withColumn("window_number", F.floor(F.col("_rn") / size).cast("long")).withColumn("pos", (F.col("_rn") % size).cast("int"))
+    return out.withColumn("window_tx_count", F.least(F.lit(size).cast("long"), F.col("_n") - F.col("window_number") * size)).drop("_rn", "_n", "_t", "_p", "_g", "_q", "_c", "_before")
+
+
 def count_windows(df: DataFrame, *, group: str, order: list[Column], size: int = SIZE, least: int = LEAST) -> DataFrame:
     """:func:`numbered` rows of the windows with at least ``least`` rows."""
     return numbered(df, group=group, order=order, size=size).where(F.col("window_tx_count") >= least)
@@ -37,9 +61,16 @@ def sample_id(split: Column, group: Column, window: Column) -> Column:
     return F.concat(split, F.lit("-"), F.substring(F.sha2(group, 256), 1, 16), F.lit("-"), F.lpad(window.cast("string"), 6, "0"))
 
 
-def recording_windows(canonical: DataFrame, *, size: int = SIZE, least: int = LEAST) -> DataFrame:
-    """Canonical rows of all windows kept, with their ``sample_id``."""
-    out = count_windows(canonical, group="split_group_id", order=recording_order(), size=size, least=least)
+def recording_windows(canonical: DataFrame, *, size: int = SIZE, least: int = LEAST, large: bool = False) -> DataFrame:
+    """Canonical rows of all windows kept, with their ``sample_id``.
+
+    One shuffle by recording serves ranking and all that follows. ``large`` is for logs in
+    which one recording is too much for a task: see :func:`numbered_by_ranges`.
+    """
+    if large:
+        out = numbered_by_ranges(canonical, group="split_group_id", time=finite(F.col("request_timestamp")), seq="ingest_seq", size=size).where(F.col("window_tx_count") >= least)
+    else:
+        out = count_windows(canonical, group="split_group_id", order=recording_order(), size=size, least=least)
     return out.withColumn("sample_id", sample_id(F.col("split"), F.col("split_group_id"), F.col("window_number")))
 
 
