@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.nulls import finite
 from ..functions.tails import normal_tail
 
-#: Sizes of Cliff's delta, from below.
+# Sizes of Cliff's delta, from below.
 MAGNITUDES = [(0.147, "negligible"), (0.33, "small"), (0.474, "medium"), (math.inf, "large")]
 
 

@@ -13,6 +13,7 @@ HIGH_QUERY_ENTROPY, HIGH_SUBDOMAIN_ENTROPY = 4.0, 3.5
 QTYPES = ["A", "AAAA", "CNAME", "TXT", "MX", "NULL", "PRIVATE"]
 RCODES = ["NOERROR", "NXDOMAIN", "SERVFAIL", "NULL"]
 _STATS = {"mean": F.avg, "std": F.stddev_pop, "median": lambda c: F.percentile(c, F.lit(0.5)), "p95": lambda c: F.percentile(c, F.lit(0.95))}
+# Feature names, thresholds, and known types and codes.
 #: Feature stem, column, statistics, in the features' order where they stand together.
 _MOMENTS = [
     ("query_name_len", "query_name_len", "mean std p95"), ("subdomain_len", "subdomain_len", "mean std p95"), ("num_labels", "num_labels", "mean std p95"), ("max_label_len", "max_label_len", "mean p95"),
@@ -29,7 +30,7 @@ SIMILARITY = ["adjacent_subdomain_jaro_winkler_mean"]
 QTYPE = [f"qtype_{q.lower()}_ratio" for q in QTYPES] + ["qtype_other_ratio"]
 RCODE = [f"rcode_{r.lower()}_ratio" for r in RCODES] + ["rcode_other_ratio"]
 FEATURES = LEXICAL + ENTROPY + VOLUME + TIMING + RECURRENCE + IAT + SIMILARITY + QTYPE + RCODE
-#: Features outside the 42 of the core schema.
+# Features outside the 42 of the core schema.
 NOT_CORE = ["query_entropy_std", "response_missing_ratio", "adjacent_subdomain_jaro_winkler_mean", "qtype_aaaa_ratio", "qtype_null_ratio", "qtype_private_ratio", "rcode_noerror_ratio", "rcode_nxdomain_ratio", "rcode_null_ratio", "rcode_other_ratio"]
 CORE = [f for f in FEATURES if f not in NOT_CORE]
 

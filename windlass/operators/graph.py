@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+# Kinds, edge types, and the channels that describe nodes and edges.
 KINDS = ["client", "server", "base", "subdomain"]
 #: Edge type: kinds of its ends.
 EDGE_TYPES = [("client", "server"), ("client", "base"), ("base", "subdomain")]

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.nulls import finite
 from .windows import recording_order
 
-#: Channels of a transaction in their order; the inter-arrival time comes from neighbouring rows.
+# Channels of a transaction in their order; the inter-arrival time comes from neighbouring rows.
 CHANNELS = [
     "query_name_len", "subdomain_len", "num_labels", "max_label_len", "query_entropy", "longest_subdomain_entropy", "long_consonant_string_count", "request_len", "request_payload_len", "response_len", "response_payload_len",
     "total_transaction_bytes", "req_resp_time_diff", "interarrival_time", "is_response_missing",

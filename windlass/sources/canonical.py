@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from ..functions import lexical as lx
 
+# The canonical columns.
 TEXT = ["split_group_id", "traffic_label", "source_name", "tool_label", "scenario_type", "evaluation_subset", "base_domain", "subdomain", "query_name_normalized", "query_type", "dns_rcode", "client_ip", "server_ip"]
 NUMBERS = [
     "request_timestamp", "query_name_len", "subdomain_len", "num_labels", "max_label_len", "long_consonant_string_count", "query_entropy", "longest_subdomain_entropy",
