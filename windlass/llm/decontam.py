@@ -187,9 +187,13 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, window: int = 10, bl
 
 
 def _holds(block, window: int) -> Column:
+    made: list[_Queries] = []  # once a task, not once a batch
+
     def holds(text: pa.Array) -> pa.Array:
-        q, values = _Queries(block.value, window), texts(text)
-        return pa.array([len(found[1]) > 0 for i, j in packs(values, SHARD_BYTES) for found in _search(values[i:j], q)], pa.bool_())
+        if not made:
+            made.append(_Queries(block.value, window))
+        values = texts(text)
+        return pa.array([len(found[1]) > 0 for i, j in packs(values, SHARD_BYTES) for found in _search(values[i:j], made[0])], pa.bool_())
 
     return F.arrow_udf(holds, "boolean")("text")
 

@@ -7,6 +7,8 @@ its ancestors again.
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -25,7 +27,9 @@ def shared_root(spark: SparkSession) -> str:
         return jvm.get().rstrip("/")
     if not spark.sparkContext.master.startswith("local["):
         raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    root = "file://" + tempfile.mkdtemp(prefix="windlass-")
+    folder = tempfile.mkdtemp(prefix="windlass-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    root = "file://" + folder
     spark.conf.set("spark.checkpoint.dir", root)
     return root
 
