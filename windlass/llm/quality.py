@@ -10,9 +10,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .bytesops import PUNCT_TABLE, batches, packs, span_hashes, texts, tokens, window_hashes
+from .bytesops import PUNCT_TABLE, batches, packs, release, span_hashes, texts, tokens, window_hashes
 from .sampling import hash_sample
-from .scratch import Scratch
+from .scratch import RUN, Scratch, settings
 
 #: Buckets of unigrams and bigrams; counts travel in blocks of 2**LOG2_BLOCK.
 LOG2_BUCKETS, LOG2_BLOCK = 18, 12
@@ -56,6 +56,7 @@ def _count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total[0] += np.bincount(bucket, minlength=total.shape[1])
             if good[i:j].any():
                 total[1] += np.bincount(bucket[good[i:j][doc]], minlength=total.shape[1])
+    release()
     rows = [(kind << 32 | k, block.tobytes()) for kind in (0, 1) for k, block in enumerate(total[kind].reshape(-1, 1 << LOG2_BLOCK)) if block.any()]
     if rows:
         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], ["block", "counts"])
@@ -158,7 +159,9 @@ def fit_quality(docs: DataFrame, labels: DataFrame, *, labelled: int = LABELLED,
     marked = rows.join(F.broadcast(known), F.col("doc_id") == F.col("d"), "left")  # at most `labelled` rows of 13 bytes
     parts = marked.select("text", (F.col("fits") & (F.col("quality") == 1)).alias("good")).mapInArrow(_count, "block long, counts binary")
     counts = np.zeros((2, 1 << LOG2_BUCKETS), np.int64)
-    for r in parts.repartition(16, "block").mapInArrow(_add, "block long, counts binary").collect():
+    with settings(spark, RUN):
+        sums = parts.repartition(16, "block").mapInArrow(_add, "block long, counts binary").collect()
+    for r in sums:
         counts[r.block >> 32].reshape(-1, 1 << LOG2_BLOCK)[r.block & 0xFFFFFFFF] = np.frombuffer(r.counts, np.int64)
     if not counts[1].any():
         return QualityModel(spark.sparkContext.broadcast(np.zeros(counts.shape[1])), 0.0, 0.0), None

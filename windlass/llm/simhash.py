@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .bytesops import batches, packs, texts, tokens
+from .bytesops import batches, packs, release, texts, tokens
 from .components import components
 from .scratch import Scratch
 
@@ -58,6 +58,7 @@ def _printer(shingle: int) -> Callable:
             values = [normal(v) for v in texts(b["text"])]
             fp = np.concatenate([fingerprints(values[i:j], shingle) for i, j in packs(values)])
             yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(fp.view(np.int64))], ["doc_id", "fp"])
+        release()
 
     return scan
 
