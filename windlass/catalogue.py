@@ -580,7 +580,7 @@ _MODEL_NAMES = [f for f in features.CORE if f != "iat_cv"] + ["iat_cv"]
 
 def scored_splits(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Scaled core features with label and recording weight: the train split, and all."""
-    tab = tabular(spark, sf_dir)
+    tab = tabular(spark, sf_dir).persist()  # a row a window; every fit reads it again
     tab = scaling.apply(tab, scaling.fit_features(tab, features.CORE))
     return sampling.recording_weights(tab.where("split = 'train'")), tab
 
@@ -612,6 +612,7 @@ def _trained(net, data, rows: DataFrame, spark: SparkSession, sf_dir: str, epoch
     """Train on at most 2,000 train windows by hash order, choose the epoch on at most 1,000 validation ones, score all."""
     from .models import networks
 
+    rows = rows.persist()  # a row a window; read for training, for choosing the epoch and for scoring
     labelled = rows.join(_labels(spark, sf_dir), "sample_id")
     some = lambda split, n: labelled.where(F.col("split") == split).orderBy(F.sha2("sample_id", 256)).limit(n).toPandas()
     fit, check = some("train", 2000), some("validation", 1000)
