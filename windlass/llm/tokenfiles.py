@@ -19,8 +19,10 @@ from pyspark.sql import functions as F
 from .bytesops import batches, release, texts
 from .scratch import Scratch
 
-#: Words that a worker keeps with their ids (the half that was not met lately goes first), and the bytes above which a word is not kept.
-CACHE, LONG = 600_000, 48
+#: Words that a worker keeps with their ids before it starts anew, and the bytes above which a word is not kept.
+CACHE, LONG = 1_000_000, 48
+#: Words encoded at once: an encoding takes far more memory than its ids.
+SOME = 4096
 
 
 def _fs(uri: str):
@@ -47,18 +49,17 @@ class Encoder:
 
         self.tokenizer, self.kind = Tokenizer.from_file(path), {"<u2": "H", "<u4": "I"}[dtype]
         self.known: dict[bytes, bytes] = {}
-        self.older: dict[bytes, bytes] = {}
 
     def __call__(self, values: list[bytes]) -> list[bytes]:
         split = [v.split() for v in values]
         words = set().union(*split)
-        if len(self.known) > CACHE // 2:
-            self.older, self.known = self.known, {}
-        missing = words - self.known.keys()
-        self.known.update((w, self.older[w]) for w in missing & self.older.keys())
-        missing = list(missing - self.known.keys())
-        encoded = self.tokenizer.encode_batch_fast([w.decode() for w in missing], add_special_tokens=False)
-        self.known.update((w, array(self.kind, e.ids).tobytes()) for w, e in zip(missing, encoded, strict=True))
+        if len(self.known) > CACHE:
+            self.known = {w: ids for w in words if (ids := self.known.get(w)) is not None}
+        missing = list(words - self.known.keys())
+        for lo in range(0, len(missing), SOME):
+            some = missing[lo : lo + SOME]
+            encoded = self.tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False)
+            self.known.update((w, array(self.kind, e.ids).tobytes()) for w, e in zip(some, encoded, strict=True))
         out = [b"".join(map(self.known.__getitem__, s)) for s in split]
         for w in missing:
             if len(w) > LONG:
