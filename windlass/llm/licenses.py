@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -10,17 +12,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytesops import batches, packs, span_hashes, spans, texts, window_hashes
+from .license_set import long_templates, short_templates
 
 #: Words of a fingerprint, fingerprints of which one is kept, and words that an alignment may shift.
 GRAM, WINNOW, BAND = 3, 4, 8
 #: Share of a template's words that must match.
 COVERAGE = 0.8
+#: Templates of fewer words are lines, of which all telling words must match; up to the second number they are notices, whose version must.
+LINE, NOTICE = 20, 200
+#: Words of a line that do not tell one license from another.
+GENERIC = frozenset("this work program software library is are was licensed released distributed available made provided published under the a an of in at to and with for terms conditions license licence public general version v international unported generic".split())
 _LOWER = bytes(range(0x41)) + bytes(range(0x61, 0x7B)) + bytes(range(0x5B, 256))
 _WORD = np.zeros(256, np.uint8)
 _WORD[0x30:0x3A] = _WORD[0x61:0x7B] = _WORD[0x80:0x100] = 1
 
 # License notices and texts, as published.
-TEMPLATES = {
+TEMPLATES = short_templates() | {
     "apache-2.0-line": "Licensed under the Apache License, Version 2.0.",
     "mit-line": "Released under the MIT License.",
     "gpl-3.0-line": "This work is licensed under the GNU General Public License, version 3.",
@@ -63,17 +70,35 @@ def winnow(h: np.ndarray) -> list[int]:
     return sorted(out)
 
 
+def _telling(template: str) -> list[str]:
+    """A line's words that name its license; of longer notices the version's numbers, once each."""
+    words = [w.decode("utf-8") for w in _words(template.encode())]
+    if len(words) < LINE:
+        return [w for w in words if w not in GENERIC]
+    if len(words) < NOTICE:
+        return sorted({n for m in re.findall(r"\bv(?:ersion|\.)\s+([\d.]+)", template.lower()) for n in m.split(".") if n})
+    return []
+
+
+def _words(value: bytes) -> list[bytes]:
+    low = value.translate(_LOWER)
+    return [low[a:b] for a, b in zip(*spans(low, _WORD), strict=True)]
+
+
 class Index:
     """The templates' words, and an inverted index of their winnowed fingerprints.
 
     A text's own fingerprints are all looked up, so a template that it holds whole is
-    always a candidate.
+    always a candidate. ``needed`` are the words without which a match would be another
+    license: a line's words but for GENERIC ones, as often as they occur, and the numbers
+    of a notice's version.
     """
 
     def __init__(self, templates: dict[str, str]) -> None:
         self.names = list(templates)
         h, first = word_hashes([templates[n].encode() for n in self.names])
         self.words = [h[a:b] for a, b in zip(first[:-1], first[1:], strict=True)]
+        self.needed = [Counter(word_hashes([x.encode()])[0][0].item() for x in _telling(templates[n])) for n in self.names]
         postings: dict[int, list[tuple[int, int]]] = {}
         for t, w in enumerate(self.words):
             grams = window_hashes(w, min(GRAM, len(w))) if len(w) else w
@@ -110,27 +135,47 @@ def align(template: np.ndarray, text: np.ndarray, diagonal: int, band: int = BAN
     return best[1], best[2], best[3] + 1
 
 
+def most(template: np.ndarray, text: np.ndarray, diagonal: int, band: int = BAND) -> int:
+    """How many of the template's words any alignment in the band can match at most."""
+    hit = np.zeros(len(template), bool)
+    for o in range(diagonal - band, diagonal + band + 1):
+        lo, hi = max(0, -o), min(len(template), len(text) - o)
+        if lo < hi:
+            hit[lo:hi] |= template[lo:hi] == text[lo + o : hi + o]
+    return int(hit.sum())
+
+
 def matches(index: Index, text: np.ndarray, at: np.ndarray, keys: np.ndarray, coverage: float) -> list[tuple[str, int, int, int, float]]:
-    """Templates found in a text's words, given the hits of its fingerprints: name, span, matched words, coverage."""
+    """Templates found in a text's words, given the hits of its fingerprints: name, span, matched words, coverage.
+
+    Of found spans that share more than half of the shorter one, the template stays that has
+    most matched words less those missed, in the template and in the span.
+    """
     regions: dict[int, list[int]] = {}
+    present = set(text.tolist())
     for p, k in zip(at.tolist(), keys.tolist(), strict=True):
         for t, q in index.postings[k]:
-            regions.setdefault(t, []).append(p - q)
+            if index.needed[t].keys() <= present:
+                regions.setdefault(t, []).append(p - q)
     found = []
     for t, diagonals in regions.items():
         template, last = index.words[t], None
+        least = coverage * len(template)
         for d in sorted(diagonals):
             if last is not None and d - last <= BAND // 2:
                 continue
             last = d
             lo = max(0, d - BAND)
-            m, a, b = align(template, text[lo : d + len(template) + 2 * BAND], d - lo)
-            if m >= coverage * len(template):
-                found.append((index.names[t], lo + a, lo + b, m, m / len(template)))
-    found.sort(key=lambda f: (-f[3], f[1], f[0]))
+            part = text[lo : d + len(template) + 2 * BAND]
+            if len(part) < least or most(template, part, d - lo) < least:
+                continue
+            m, a, b = align(template, part, d - lo)
+            if m >= least and index.needed[t] <= Counter(part[a:b].tolist()):
+                found.append((3 * m - len(template) - (b - a), (index.names[t], lo + a, lo + b, m, m / len(template))))
+    found.sort(key=lambda f: (-f[0], -f[1][4], f[1][1], f[1][0]))
     kept: list[tuple[str, int, int, int, float]] = []
-    for f in found:
-        if not any(f[1] >= g[1] and f[2] <= g[2] for g in kept):
+    for _, f in found:
+        if not any(2 * (min(f[2], g[2]) - max(f[1], g[1])) > min(f[2] - f[1], g[2] - g[1]) for g in kept):
             kept.append(f)
     return sorted(kept, key=lambda f: (f[1], f[0]))
 
@@ -164,13 +209,15 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, *, c
     Words are lower-case runs of letters and digits. Each text's fingerprints of GRAM words
     are looked up in the templates' index; each candidate diagonal is aligned within a band,
     and reported if enough of the template's words match. first_word counts from 0 and
-    last_word is one past the end. Of spans inside one another the one with most matched
-    words stays. The index (a few kilobytes a template) is broadcast; texts are scanned once
-    and never shuffled.
+    last_word is one past the end. Of a line, all words that tell its license must match, and
+    of a notice its version, so that a license or version without a template is not taken
+    for another; of spans that overlap by half, the template that fits best stays. The default
+    templates are those of license_set. The index (a few kilobytes a template) is broadcast;
+    texts are scanned once and never shuffled.
 
     Null and empty texts, and templates under GRAM words, match nothing. Repeated rows are
     reported each; a null doc_id stays null; other columns are ignored; an empty table
     gives an empty result.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(Index(TEMPLATES if templates is None else templates))
+    shared = docs.sparkSession.sparkContext.broadcast(Index(TEMPLATES | long_templates() if templates is None else templates))
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_scanner(shared, coverage), "doc_id long, license string, first_word long, last_word long, matched long, coverage double")
