@@ -1,6 +1,6 @@
 """Cases in which an operator once did less than the whole job."""
 
-from windlass.llm import licenses
+from windlass.llm import dom, licenses
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 NOISE = "the river and the stone under a light of morning walks home again "
@@ -50,3 +50,17 @@ def test_every_template_is_found_in_its_own_text(spark):
     templates = licenses.TEMPLATES | licenses.long_templates()
     found = scan(spark, list(templates.values()))
     assert [n for n, f in zip(templates, found, strict=True) if n not in f] == []
+
+
+def test_deep_elements_keep_their_place():
+    deep = dom.parse("<body><article>" + "<div>" * 5000 + "<p>deep</p><aside>aside</aside>" + "</div>" * 5000 + "<p>rest</p></article><p>outside</p></body>")
+    path = {}
+    for piece, owner in zip(deep.texts, deep.owners, strict=True):
+        path[piece] = []
+        while owner:
+            path[piece].append(deep.tags[owner])
+            owner = deep.parents[owner]
+    assert path == {"deep": ["p"] + ["div"] * 5000 + ["article", "body"], "aside": ["aside"] + ["div"] * 5000 + ["article", "body"], "rest": ["p", "article", "body"], "outside": ["p", "body"]}
+    assert dom.features(deep, {})[:, dom.NUMBERS.index("depth")].max() == 5003
+    unclosed = dom.parse("<div>" + "<font>" * 50000 + "text" + "</b>" * 50000 + "<aside>aside</aside></div><p>after</p>")
+    assert [unclosed.tags[k] for k in unclosed.owners] == ["font", "aside", "p"] and unclosed.parents[unclosed.owners[2]] == 0

@@ -19,8 +19,6 @@ BLOCK = frozenset(
 #: An element of the key's kind ends open elements of these kinds, up to the nearest of the scopes.
 _ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"thead", "tbody", "tr", "td", "th"}, "tfoot": {"thead", "tbody", "tr", "td", "th"}}
 _SCOPE = frozenset("html body table ul ol dl select article section div nav aside header footer main form".split())
-#: A stray end tag of an inline element never closes a block.
-MAX_DEPTH = 200
 
 
 @dataclass
@@ -45,6 +43,7 @@ def parse(html: str) -> Page:
     page's end ends there. The text of scripts, styles and the like is no text.
     """
     page, stack = Page(), [0]
+    places: dict[str, list[int]] = {}  # where in the stack each kind's open elements are
     page.tags.append("#page")
     page.parents.append(-1)
     page.tokens.append(())
@@ -58,13 +57,12 @@ def parse(html: str) -> Page:
             page.edges.append(edge)
 
     def close(kinds: frozenset | set, scope: frozenset) -> None:
-        for k in range(len(stack) - 1, 0, -1):
-            tag = page.tags[stack[k]]
-            if tag in kinds:
-                del stack[k:]
-                return
-            if tag in scope:
-                return
+        k = max((places[t][-1] for t in kinds if places.get(t)), default=0)
+        if not k or any(places[t][-1] > k for t in scope if places.get(t)):
+            return
+        for node in stack[k:]:
+            places[page.tags[node]].pop()
+        del stack[k:]
 
     while m := _TAG.search(html, at):
         text(html[at : m.start()])
@@ -74,6 +72,7 @@ def parse(html: str) -> Page:
         tag = m[2].lower()
         edge += tag in BLOCK
         if m[1]:
+            # A stray end tag of an inline element never closes a block.
             scope = frozenset() if tag in BLOCK else BLOCK
             close({tag}, scope)
             page.markup[stack[-1]] += at - m.start()
@@ -94,7 +93,8 @@ def parse(html: str) -> Page:
             at = end.end() if end else len(html)
         elif tag == "br":
             text("\n")
-        elif tag not in VOID and len(stack) < MAX_DEPTH:
+        elif tag not in VOID:
+            places.setdefault(tag, []).append(len(stack))
             stack.append(node)
     text(html[at:])
     return page
