@@ -6,13 +6,12 @@ from collections.abc import Callable
 from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from windlass.llm.decontam import remove_contaminated
 from windlass.llm.mixing import take_mix
 from windlass.llm.quality import keep_quality
 from windlass.llm.scratch import Scratch
-from windlass.llm.simhash import near_duplicates
+from windlass.llm.simhash import keep_one
 from windlass.llm.tokenfiles import token_files
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -46,15 +45,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @_stage()
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate component: that of the least doc_id.
-
-    Of rows with equal doc_id one stays. Documents without doc_id belong to no class by
-    name; of equal texts among them one stays.
-    """
-    docs = docs.select(*COLUMNS)
-    kept = near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where("doc_id IS NULL").dropDuplicates(["text"]))
+    """One document of each near-duplicate component, whatever their doc_id: that of the least doc_id, null last."""
+    return keep_one(docs.select(*COLUMNS))
 
 
 @_stage()

@@ -1,5 +1,8 @@
 """Cases in which an operator once did less than the whole job."""
 
+import random
+
+import corpus_pipeline
 from windlass.llm import dom, licenses
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -64,3 +67,15 @@ def test_deep_elements_keep_their_place():
     assert dom.features(deep, {})[:, dom.NUMBERS.index("depth")].max() == 5003
     unclosed = dom.parse("<div>" + "<font>" * 50000 + "text" + "</b>" * 50000 + "<aside>aside</aside></div><p>after</p>")
     assert [unclosed.tags[k] for k in unclosed.owners] == ["font", "aside", "p"] and unclosed.parents[unclosed.owners[2]] == 0
+
+
+def test_pipeline_keeps_one_document_of_each_component(spark, tmp_path):
+    rng = random.Random(3)
+    text = lambda: " ".join(f"w{rng.randrange(10**6)}" for _ in range(200))
+    a, b, c, d, e = (text() for _ in range(5))
+    # near copies without doc_id; a copy of a named one; one doc_id on two texts, one of which has a copy; repeated rows
+    rows = [(None, a), (None, a + " "), (None, a.upper()), (None, b), (1, b), (5, c), (5, d), (6, c), (6, d), (7, e), (7, e), (None, None), (None, ""), (None, " ")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], DOCS).repartition(4)
+    got = corpus_pipeline.near_dedup(spark, docs, str(tmp_path)).collect()
+    kept = sorted((r.doc_id or 0, (r.text or "").strip().lower()) for r in got)
+    assert kept == sorted([(0, a), (1, b), (5, c), (5, d), (7, e), (0, "")])

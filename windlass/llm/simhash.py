@@ -52,12 +52,12 @@ def fingerprints(values: list[bytes], shingle: int = 3) -> np.ndarray:
     return out
 
 
-def _printer(shingle: int) -> Callable:
+def _printer(shingle: int, carried: list[str]) -> Callable:
     def scan(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches(it):
             values = [normal(v) for v in texts(b["text"])]
             fp = np.concatenate([fingerprints(values[i:j], shingle) for i, j in packs(values)])
-            yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(fp.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([*(b[c] for c in carried), pa.array(fp.view(np.int64))], [*carried, "fp"])
         release()
 
     return scan
@@ -108,6 +108,14 @@ def links(distinct: DataFrame, scratch: Scratch) -> DataFrame:
     return two.unionByName(few).unionByName(star)
 
 
+def _roots(prints: DataFrame, least: Column, scratch: Scratch) -> DataFrame:
+    """``fp, least, root`` for every distinct fingerprint: an aggregate of its rows, and the fingerprint that stands for its component."""
+    distinct = scratch.cut(prints.groupBy("fp").agg(least.alias("least")), "distinct")
+    roots = components(links(distinct, scratch), scratch)
+    inside = roots.select("node", "root").unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
+    return scratch.cut(distinct.join(inside, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "named")
+
+
 def near_duplicates(docs: DataFrame, *, shingle: int = 3) -> DataFrame:
     """``doc_id, fp, component_id`` for every document.
 
@@ -122,15 +130,27 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 3) -> DataFrame:
     result; other columns are ignored.
     """
     scratch = Scratch(docs.sparkSession, "simhash")
-    prints = scratch.cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_printer(shingle), "doc_id long, fp long"), "prints")
-    distinct = scratch.cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    roots = components(links(distinct, scratch), scratch)
-    inside = roots.select("node", "root").unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
-    named = scratch.cut(distinct.join(inside, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "named")
+    prints = scratch.cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_printer(shingle, ["doc_id"]), "doc_id long, fp long"), "prints")
+    named = _roots(prints, F.min("doc_id"), scratch)
     least = named.groupBy("root").agg(F.min("least").alias("component_id")).select(F.col("root").alias("r"), "component_id")
     classes = scratch.cut(named.join(least, F.col("root") == F.col("r")).select(F.col("fp").alias("f"), "component_id"), "classes")
     return prints.join(classes, F.col("fp") == F.col("f")).select("doc_id", "fp", "component_id")
 
 
+def keep_one(docs: DataFrame, *, shingle: int = 3) -> DataFrame:
+    """One row, with all its columns, of each component that :func:`near_duplicates` links.
+
+    It is the row of the least doc_id (null last), then fingerprint, then hash of the text;
+    rows with equal doc_id and text are alike. A component counts whatever its rows' doc_id
+    are: rows without one, or that share one, are told apart by their texts.
+    """
+    scratch, key = Scratch(docs.sparkSession, "keep_one"), ["unnamed", "id", "text_key"]
+    keyed = docs.withColumns({"unnamed": F.col("doc_id").isNull(), "id": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), "text_key": F.xxhash64(F.lit(1), "text")})
+    prints = scratch.cut(keyed.select(*key, "text").mapInArrow(_printer(shingle, key), "unnamed boolean, id long, text_key long, fp long"), "prints")
+    named = _roots(prints, F.min(F.struct("unnamed", "id", "fp", "text_key")), scratch)
+    kept = named.groupBy("root").agg(F.min("least").alias("k")).select(*(F.col(f"k.{c}").alias(c) for c in key))
+    return keyed.dropDuplicates(key).join(kept, key, "left_semi").select(*docs.columns)
+
+
 def hex_digits(fp: Column) -> Column:
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
