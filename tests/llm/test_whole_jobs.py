@@ -79,3 +79,15 @@ def test_pipeline_keeps_one_document_of_each_component(spark, tmp_path):
     got = corpus_pipeline.near_dedup(spark, docs, str(tmp_path)).collect()
     kept = sorted((r.doc_id or 0, (r.text or "").strip().lower()) for r in got)
     assert kept == sorted([(0, a), (1, b), (5, c), (5, d), (7, e), (0, "")])
+
+
+def test_any_trigram_of_a_short_license_makes_it_a_candidate(spark):
+    index = licenses.Index(licenses.TEMPLATES)
+    held = dict(zip(index.keys.tolist(), index.postings, strict=True))
+    for t, w in enumerate(index.words):
+        if licenses.GRAM <= len(w) < 40:
+            assert all((t, k) in held[int(g)] for k, g in enumerate(licenses.window_hashes(w, licenses.GRAM)))
+    changed = ["Distributed under the MIT License.", "Released under the MIT Licence.", "Released in the MIT License."]
+    template = {"mit-line": licenses.TEMPLATES["mit-line"]}
+    rows = [(i, NOISE + t + " " + NOISE, "en", "s", 1) for i, t in enumerate(changed)]
+    assert {r.doc_id for r in licenses.scan_licenses(spark.createDataFrame(rows, DOCS), template).collect()} == {0, 1, 2}

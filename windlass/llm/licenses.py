@@ -16,6 +16,8 @@ from .license_set import long_templates, short_templates
 
 #: Words of a fingerprint, fingerprints of which one is kept, and words that an alignment may shift.
 GRAM, WINNOW, BAND = 3, 4, 8
+#: Templates of fewer words keep every fingerprint.
+WHOLE = 40
 #: Share of a template's words that must match.
 COVERAGE = 0.8
 #: Templates of fewer words are lines, of which all telling words must match; up to the second number they are notices, whose version must.
@@ -86,7 +88,7 @@ def _words(value: bytes) -> list[bytes]:
 
 
 class Index:
-    """The templates' words, and an inverted index of their winnowed fingerprints.
+    """The templates' words, and an inverted index of their fingerprints: all of short templates, winnowed ones of others.
 
     A text's own fingerprints are all looked up, so a template that it holds whole is
     always a candidate. ``needed`` are the words without which a match would be another
@@ -102,7 +104,7 @@ class Index:
         postings: dict[int, list[tuple[int, int]]] = {}
         for t, w in enumerate(self.words):
             grams = window_hashes(w, min(GRAM, len(w))) if len(w) else w
-            for k in winnow(grams) if len(w) >= GRAM else []:
+            for k in [] if len(w) < GRAM else range(len(grams)) if len(w) < WHOLE else winnow(grams):
                 postings.setdefault(int(grams[k]), []).append((t, k))
         self.keys = np.array(sorted(postings), np.uint64)
         self.postings = [postings[int(k)] for k in self.keys]
