@@ -3,7 +3,7 @@
 import random
 
 import corpus_pipeline
-from windlass.llm import dom, licenses
+from windlass.llm import dom, extraction, licenses
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 NOISE = "the river and the stone under a light of morning walks home again "
@@ -91,3 +91,15 @@ def test_any_trigram_of_a_short_license_makes_it_a_candidate(spark):
     template = {"mit-line": licenses.TEMPLATES["mit-line"]}
     rows = [(i, NOISE + t + " " + NOISE, "en", "s", 1) for i, t in enumerate(changed)]
     assert {r.doc_id for r in licenses.scan_licenses(spark.createDataFrame(rows, DOCS), template).collect()} == {0, 1, 2}
+
+
+def test_extraction_is_fitted_on_whole_pages(spark, monkeypatch):
+    fitted = []
+    fit = extraction.fit_extractor
+    monkeypatch.setattr(extraction, "fit_extractor", lambda pages: fitted.append(pages) or fit(pages))
+    html = [f"<article><p>{NOISE * 600} {k}</p></article><footer>end of {k}</footer>" for k in range(6)]
+    pages = spark.createDataFrame([(k, "u", h) for k, h in enumerate(html + html[:2] + ["", None])], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in extraction.extract_text(pages).collect()}
+    assert min(map(len, html)) > 20000 and sorted(h for h in fitted[0] if h) == sorted(html)
+    assert all(got[k].endswith(f"home again {k}") for k in range(6))
+    assert len(extraction.sample_pages(pages, 160, len(html[0]) * 3)) in (3, 4)  # the empty page may be the fourth

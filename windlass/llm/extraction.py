@@ -17,8 +17,8 @@ from .bytesops import batches
 from .dom import Page, features, main_text, parse
 from .sampling import hash_sample
 
-#: Pages, and characters of each, that fit the classifier (chosen by hash; not a limit on what is extracted).
-SAMPLE, SAMPLE_CHARS = 160, 20_000
+#: Pages, and characters of all of them, that fit the classifier (whole pages chosen by hash; not a limit on what is extracted).
+SAMPLE, SAMPLE_CHARS = 160, 3_200_000
 #: Tags and attribute tokens that are features.
 VOCABULARY = 160
 #: What the teacher goes by: an element of these tags or with these attribute tokens is no main text.
@@ -107,7 +107,7 @@ class Extractor:
 def fit_extractor(pages: list[str], *, variants: int = 2, seed: int = 5) -> Extractor:
     """Fit on pages labelled by the teacher, and on variants of them."""
     rng = random.Random(seed)
-    pages = [h[:SAMPLE_CHARS] for h in pages if h] or ["<html><body><article><p>text</p></article><nav>menu</nav></body></html>"]
+    pages = [h for h in pages if h] or ["<html><body><article><p>text</p></article><nav>menu</nav></body></html>"]
     pieces = [t for h in pages for t in parse(h).texts if len(t) > 20] or ["some text of a page"]
     parsed = [parse(h) for h in pages + [_variant(h, pieces, rng) for h in pages for _ in range(variants)]]
     seen = Counter(x for p in parsed for k, t in enumerate(p.tags) for x in {t, *p.tokens[k]})
@@ -128,10 +128,23 @@ def _extract(shared) -> Callable:
     return run
 
 
-def extract_text(pages: DataFrame, *, sample: int = SAMPLE) -> DataFrame:
+def sample_pages(pages: DataFrame, sample: int, chars: int) -> list[str]:
+    """Distinct whole pages in order of hash, without those that would take the sample beyond so many characters."""
+    html = pages.where("html IS NOT NULL").select("html", F.xxhash64("html").alias("key"))
+    sizes, some = hash_sample(html.select("key", F.length("html").alias("n")).distinct(), F.col("key"), sample).collect(), []
+    for r in sizes:
+        if r.n <= chars:
+            some.append(r.key)
+            chars -= r.n
+    found = {r.key: r.html for r in html.where(F.col("key").isin(some)).dropDuplicates(["key"]).collect()}
+    return [found[k] for k in dict.fromkeys(some)]
+
+
+def extract_text(pages: DataFrame, *, sample: int = SAMPLE, sample_chars: int = SAMPLE_CHARS) -> DataFrame:
     """``page_id, url, text, n_chars`` for every page; n_chars counts code points.
 
-    A bounded sample of pages (by hash of the html) fits the trees at each run; a teacher
+    A bounded sample of whole pages (by hash of the html: ``sample`` pages that together
+    have ``sample_chars`` characters at most) fits the trees at each run; a teacher
     labels its elements by tag and attribute, and variants of the pages add wrappings and
     parts that the sample may lack. Each page is then parsed whole, its elements are scored
     by subtree density, links, attribute tokens, depth, siblings and ancestors, and the
@@ -143,6 +156,5 @@ def extract_text(pages: DataFrame, *, sample: int = SAMPLE) -> DataFrame:
     """
     spark = pages.sparkSession
     rows = pages.select("page_id", "url", "html")
-    some = hash_sample(rows.where("html IS NOT NULL").select(F.substring("html", 1, SAMPLE_CHARS).alias("html")), F.col("html"), sample).collect()
-    shared = spark.sparkContext.broadcast(fit_extractor([r.html for r in some]))
+    shared = spark.sparkContext.broadcast(fit_extractor(sample_pages(rows, sample, sample_chars)))
     return rows.mapInArrow(_extract(shared), "page_id long, url string, text string, n_chars long")
