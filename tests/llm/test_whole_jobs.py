@@ -3,7 +3,7 @@
 import random
 
 import corpus_pipeline
-from windlass.llm import dom, extraction, licenses
+from windlass.llm import decontam, dom, extraction, licenses
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 NOISE = "the river and the stone under a light of morning walks home again "
@@ -103,3 +103,14 @@ def test_extraction_is_fitted_on_whole_pages(spark, monkeypatch):
     assert min(map(len, html)) > 20000 and sorted(h for h in fitted[0] if h) == sorted(html)
     assert all(got[k].endswith(f"home again {k}") for k in range(6))
     assert len(extraction.sample_pages(pages, 160, len(html[0]) * 3)) in (3, 4)  # the empty page may be the fourth
+
+
+def test_the_longest_match_is_with_one_item(spark):
+    w = [f"w{k}" for k in range(60)]
+    items = [(1, " ".join(w[:12])), (2, " ".join(w[12:30])), (3, "short one"), (4, " ".join(w[12:24] + w[40:60]))]
+    texts = ["x y " + " ".join(w[:30]) + " z", "a short one here", "nothing", " ".join(w[14:24] + w[40:50])]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    for size in (16 << 20, 40):
+        got = {r.doc_id: (r.longest, r.longest_at, r.n_hit) for r in decontam.contamination(docs, bench, block_bytes=size).collect()}
+        assert got == {0: (18, 14, 30), 1: (2, 1, 2), 2: (0, 0, 0), 3: (20, 0, 20)}

@@ -19,7 +19,7 @@ SHARD_BYTES = 8 << 20
 _LOWER = bytes(range(0x41)) + bytes(range(0x61, 0x7B)) + bytes(range(0x5B, 256))
 _WORD = np.zeros(256, np.uint8)
 _WORD[0x30:0x3A] = _WORD[0x61:0x7B] = _WORD[0x80:0x100] = 1
-_SCHEMA = "doc_id long, text_key long, n_words long, starts array<int>, ends array<int>, items array<string>, longest int"
+_SCHEMA = "doc_id long, text_key long, n_words long, starts array<int>, ends array<int>, items array<string>, longest int, longest_at int"
 
 
 def words(value: bytes) -> list[bytes]:
@@ -31,11 +31,19 @@ class _Queries:
     """The distinct windows of a block of benchmark items, and what is needed to find them."""
 
     def __init__(self, items: list[tuple[str, bytes]], window: int) -> None:
-        self.window, found = window, {}
+        self.window, found, number, which, place, at = window, {}, {}, [], [], 0
         for item, text in items:
             w = words(text)
             for k in range(max(1, len(w) - window + 1) if w else 0):
-                found.setdefault(tuple(w[k : k + window]), set()).add(item)
+                key = tuple(w[k : k + window])
+                found.setdefault(key, set()).add(item)
+                which.append(number.setdefault(key, len(number)))
+                place.append(at + k)
+            at += len(w) + 1  # so that no run goes on into the next item
+        # Where in the items each window is, in order: places[edges[i] : edges[i + 1]].
+        by = np.argsort(np.array(which, np.int64), kind="stable")
+        self.places = np.array(place, np.int64)[by]
+        self.edges = np.searchsorted(np.array(which, np.int64)[by], np.arange(len(found) + 1))
         self.windows, self.items = list(found), list(found.values())
         self.lengths = np.array([len(w) for w in self.windows], np.int64)
         flat = [x for w in self.windows for x in w]
@@ -110,6 +118,28 @@ def _merged(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return start[new], reach[np.concatenate((np.flatnonzero(new)[1:] - 1, [len(start) - 1]))]
 
 
+def _longest(position: np.ndarray, which: np.ndarray, q: _Queries) -> tuple[int, int]:
+    """Words and first word of the longest run that a text shares with one item, the first of equals.
+
+    A run longer than a window is a hit at each word where a window of it begins, at places of
+    the item that follow each other.
+    """
+    best, start, last, before, length = 0, 0, -2, np.empty(0, np.int64), np.empty(0, np.int64)
+    for p, i in zip(position.tolist(), which.tolist(), strict=True):
+        m = int(q.lengths[i])
+        here = q.places[q.edges[i] : q.edges[i + 1]]
+        run = np.full(len(here), m)
+        if m == q.window:
+            if p == last + 1:
+                at = np.minimum(np.searchsorted(before, here - 1), len(before) - 1)
+                on = before[at] == here - 1
+                run[on] = length[at[on]] + 1
+            last, before, length = p, here, run
+        if (n := int(run.max())) > best:
+            best, start = n, p + m - n
+    return best, start
+
+
 def _scanner(block, window: int) -> Callable:
     def scan(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         q = _Queries(block.value, window)
@@ -120,8 +150,8 @@ def _scanner(block, window: int) -> Callable:
                 for k, (n, start, end, which) in enumerate(_search(values[i:j], q), i):
                     s, e = _merged(start, end)
                     items = sorted(set().union(*(q.items[w] for w in set(which.tolist())))) if len(which) else []
-                    rows.append((ids[k], keys[k], n, s.astype(np.int32), e.astype(np.int32), items, int((e - s).max()) if len(s) else 0))
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.string()), pa.int32()), strict=True)], ["doc_id", "text_key", "n_words", "starts", "ends", "items", "longest"])
+                    rows.append((ids[k], keys[k], n, s.astype(np.int32), e.astype(np.int32), items, *_longest(start, which, q)))
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.string()), pa.int32(), pa.int32()), strict=True)], ["doc_id", "text_key", "n_words", "starts", "ends", "items", "longest", "longest_at"])
 
     return scan
 
@@ -129,7 +159,7 @@ def _scanner(block, window: int) -> Callable:
 def _finish(rows: DataFrame) -> DataFrame:
     hit = F.aggregate(F.zip_with("starts", "ends", lambda s, e: (e - s).cast("long")), F.lit(0).cast("long"), lambda a, x: a + x)
     return rows.select(
-        "doc_id", "text_key", "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (hit > 0).alias("contaminated"), "starts", "ends", "items", "longest"
+        "doc_id", "text_key", "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (hit > 0).alias("contaminated"), "starts", "ends", "items", "longest", "longest_at"
     )
 
 
@@ -154,7 +184,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, window: int = 10, bl
 
     Returns a row for each document: ``doc_id, text_key, n_words, n_hit, n_items,
     items_sha256, contaminated`` and ``starts, ends`` (merged spans of hit words),
-    ``items`` (ids as text, sorted), ``longest`` (words of the longest span).
+    ``items`` (ids as text, sorted), ``longest`` and ``longest_at`` (words of
+    the longest run shared with one item, and its first word; 0 where there is none).
 
     Each shard (about 8 MB of text in one Arrow batch) gets a suffix array over its
     words, ordered by word hash to the depth of a window; it leaves out suffixes whose
@@ -179,9 +210,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, window: int = 10, bl
     for f in cut[1:]:
         both = both.unionByName(f)
     union = F.udf(_union, "array<struct<s:int,e:int>>")
-    merged = both.groupBy("doc_id", "text_key").agg(F.max("n_words").alias("n_words"), F.collect_list("starts").alias("s"), F.collect_list("ends").alias("e"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    merged = both.groupBy("doc_id", "text_key").agg(F.max("n_words").alias("n_words"), F.collect_list("starts").alias("s"), F.collect_list("ends").alias("e"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.max(F.struct("longest", (-F.col("longest_at")).alias("back"))).alias("most"))
     merged = merged.withColumn("spans", union("s", "e")).withColumn("starts", F.col("spans.s")).withColumn("ends", F.col("spans.e"))
-    merged = merged.withColumn("longest", F.coalesce(F.array_max(F.zip_with("starts", "ends", lambda s, e: e - s)), F.lit(0)))
+    merged = merged.withColumn("longest", F.col("most.longest")).withColumn("longest_at", -F.col("most.back"))
     keys = rows.select(F.col("doc_id").alias("d"), F.col("text_key").alias("t"))
     return _finish(keys.join(merged, F.col("d").eqNullSafe(F.col("doc_id")) & F.col("t").eqNullSafe(F.col("text_key"))).drop("d", "t"))
 
