@@ -185,11 +185,126 @@ def test_language_model_sums_to_one(spark):
     assert ends["b"] > 5 * ends["unseen"]
 
 
-def test_seating_keeps_its_bounds():
+def test_tables_follow_their_distribution():
+    """Against the generalised Stirling numbers, summed up customer by customer."""
     rng = np.random.default_rng(0)
-    c = np.sort(rng.integers(1, 3000, 200))[::-1].copy()
-    t, logw = pitmanyor._seat(c, 0.75, np.full(200, 0.5), np.full(200, 50.0), 1.0, rng)
-    assert (t >= 1).all() and (t <= c).all() and np.isfinite(logw).all() and t[0] > t[-1]
+    for c, rate in ((2, 0.3), (7, 0.05), (7, 2.0), (12, 1.0), (12, 40.0)):
+        stirling = np.zeros(c + 2)
+        stirling[1] = 1
+        for n in range(1, c):
+            t = np.arange(c + 2)
+            stirling = np.maximum(n - t / 2, 0) * stirling + np.concatenate(([0], stirling[:-1]))
+        weight = stirling[1 : c + 1] * rate ** np.arange(1, c + 1)
+        drawn = pitmanyor.draw_tables(np.full(60_000, c), np.full(60_000, rate), rng)
+        assert np.abs(np.bincount(drawn, minlength=c + 1)[1:] / 60_000 - weight / weight.sum()).max() < 0.01
+    many = pitmanyor.draw_tables(np.array([1, 10**9, 10**9, 50]), np.array([5.0, 3.0, 1e5, 1e9]), rng)
+    assert many[0] == 1 and 1 <= many[1] < 40 and abs(many[2] / 2e5 - 1) < 0.1 and many[3] == 50
+
+
+class Restaurant:
+    """A Pitman-Yor restaurant of discount 1/2 whose customers are seated one at a time."""
+
+    def __init__(self, strength, parent):
+        self.strength, self.parent, self.tables = strength, parent, {}
+
+    def p(self, dish):
+        n, t = sum(map(sum, self.tables.values())), sum(map(len, self.tables.values()))
+        own = self.tables.get(dish, [])
+        up = self.parent.p(dish) if isinstance(self.parent, Restaurant) else self.parent[dish]
+        return (sum(own) - len(own) / 2 + (self.strength + t / 2) * up) / (self.strength + n)
+
+    def add(self, dish, rng):
+        own, t = self.tables.setdefault(dish, []), sum(map(len, self.tables.values()))
+        up = self.parent.p(dish) if isinstance(self.parent, Restaurant) else self.parent[dish]
+        k = rng.choices(range(len(own) + 1), [n - 0.5 for n in own] + [(self.strength + t / 2) * up])[0]
+        if k < len(own):
+            own[k] += 1
+        else:
+            own.append(1)
+            if isinstance(self.parent, Restaurant):
+                self.parent.add(dish, rng)
+
+    def remove(self, dish, rng):
+        own = self.tables[dish]
+        k = rng.choices(range(len(own)), own)[0]
+        own[k] -= 1
+        if not own[k]:
+            del own[k]
+            if isinstance(self.parent, Restaurant):
+                self.parent.remove(dish, rng)
+
+
+def tiny_corpus():
+    rng = random.Random(5)
+    docs = [row(i, " ".join(rng.choice(["a", "a", "a", "b", "c", "d e", "a a"]) for _ in range(rng.randrange(1, 9)))) for i in range(16)]
+    words = lambda t: ["$", *t.split(), "$"]
+    pairs = [p for r in docs if not pitmanyor.held_out(r[0]) for p in zip(words(r[1]), words(r[1])[1:], strict=False)]
+    counts = Counter(w for _, w in pairs)
+    n = len(pairs) + len(counts) + 1
+    return docs, pairs, {w: (c + 1) / n for w, c in counts.items()} | {"?": 1 / n}
+
+
+def by_customers(pairs, base, strength, parent_strength, sweeps):
+    rng, top = random.Random(1), Restaurant(parent_strength, base)
+    rooms, seen = {u: Restaurant(strength, top) for u, _ in pairs}, {}
+    for u, w in pairs:
+        rooms[u].add(w, rng)
+    for sweep in range(sweeps):
+        for u, w in pairs:
+            rooms[u].remove(w, rng)
+            rooms[u].add(w, rng)
+        if sweep >= 50:
+            for u in rooms:
+                for w in base:
+                    seen[u, w] = seen.get((u, w), 0) + rooms[u].p(w) / (sweeps - 50)
+    return seen
+
+
+def by_blocks(pairs, base, strength, parent_strength, sweeps):
+    """The steps of the operator, without its shards."""
+    rng, count, words = np.random.default_rng(2), Counter(pairs), sorted(base)
+    key, rooms = sorted(count), sorted({u for u, _ in pairs})
+    c, u, w = np.array([count[k] for k in key]), np.array([rooms.index(k[0]) for k in key]), np.array([words.index(k[1]) for k in key])
+    h, seen, out = np.array([base[x] for x in words]), np.bincount(u, c), np.zeros((len(rooms), len(words)))
+    t, gamma = np.minimum(c, 1), 2 * parent_strength + len(words)
+    for sweep in range(sweeps):
+        customers, seated = np.bincount(w, t, len(words)), np.bincount(u, t)
+        known = customers > 0
+        tables = np.zeros(len(words))
+        tables[known] = pitmanyor.draw_tables(customers[known], gamma / 2 * h[known], rng)
+        if sweep >= 50:
+            parent = (customers - tables / 2 + (parent_strength + tables.sum() / 2) * h) / (parent_strength + customers.sum())
+            own, left = np.zeros_like(out), np.zeros_like(out)
+            own[u, w], left[u, w] = c, t
+            out += (own - left / 2 + (strength + seated[:, None] / 2) * parent) / (strength + seen[:, None]) / (sweeps - 50)
+        gamma = rng.standard_gamma(2 * parent_strength + tables.sum())
+        mass = pitmanyor.draw_masses(customers, tables, h, gamma, rng)
+        y = rng.standard_gamma(2 * strength + seated)
+        t = pitmanyor.draw_tables(c, y[u] / 2 * (mass / mass.sum())[w], rng)
+    return {(rooms[i], words[j]): out[i, j] for i in range(len(rooms)) for j in range(len(words))}
+
+
+@pytest.mark.parametrize("strength, parent_strength", [(0.5, 1.0), (5.0, 0.2)])
+def test_blocked_steps_agree_with_customers_seated_one_at_a_time(strength, parent_strength):
+    _, pairs, base = tiny_corpus()
+    a, b = (f(pairs, base, strength, parent_strength, n) for f, n in ((by_customers, 1500), (by_blocks, 12_000)))
+    for u in {u for u, _ in pairs}:
+        assert sum(b[u, w] for w in base) == pytest.approx(1, abs=1e-9)
+    assert all(b[k] == pytest.approx(a[k], rel=0.04, abs=0.002) for k in a)
+
+
+def test_scores_are_those_of_the_model(spark):
+    docs, pairs, base = tiny_corpus()
+    expected = by_blocks(pairs, base, 2.0, 1.0, 6000)
+    probes = [(20, "a b c"), (21, "d e"), (22, "a a a"), (23, "b b b b")]
+    assert any(pitmanyor.held_out(i) for i in range(16))
+    held = [i for i in range(100, 200) if pitmanyor.held_out(i)]
+    rows = docs + [row(held[k], t) for k, (_, t) in enumerate(probes)]
+    for split in (1 << 20, 3):  # three tokens to a shard: every context is in several
+        got = {r.doc_id: r.score for r in pitmanyor.score_documents(spark.createDataFrame(rows, DOCS), pitmanyor.Settings(2.0, 1.0, 3, 12), split=split).collect()}
+        for k, (_, t) in enumerate(probes):
+            words = ["$", *t.split(), "$"]
+            assert got[held[k]] == pytest.approx(sum(math.log10(expected[p]) for p in zip(words, words[1:], strict=False)), abs=0.12)
 
 
 def test_pipeline(spark, tmp_path):
