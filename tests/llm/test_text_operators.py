@@ -1,6 +1,7 @@
 """The operators on whole texts, against plain Python."""
 
 import hashlib
+import json
 import random
 import re
 import zlib
@@ -244,3 +245,45 @@ def test_words_encode_as_in_the_text():
     signs = ["a", "B", "é", "é", "́", "'s", "'", "1", "Σ", "ς", "\x85", "\xa0", "　", " ", "\n", "\x0b", "\x0c", "\x1c", "<|startoftext|>", "<|endoftext|>", "&", "日", "İ", "!"]
     for text in ["".join(rng.choice(signs) for _ in range(rng.randrange(40))) for _ in range(3000)]:
         assert np.frombuffer(encode([text.encode()])[0], "<u2").tolist() == whole.encode(text, add_special_tokens=False).ids, ascii(text)
+
+
+def test_words_are_encoded_together_and_apart_alike():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path, rng = public_tokenizers.path("word_bpe_49k.json"), random.Random(12)
+    whole = Tokenizer.from_file(path)
+    odd = ["", " a", " a b c", "<|endoftext|> x<|startoftext|>y", " ab ", "é ́", "\U0001f600\U0001f600 x", "İstanbul Σας ΣΑΣ", "it's don't 's '", "\x00 \x7f", "x" * 5000]
+    letters = "abcXYZéß×÷ .,!'$1Α中́\n"
+    odd += ["".join(rng.choice(letters) for _ in range(rng.randrange(80))) for _ in range(300)]
+    for some in (1, 7, 512):
+        encode = tokenfiles.Encoder(path, "<u2")
+        for lo in range(0, len(odd), some):
+            got = encode([x.encode() for x in odd[lo : lo + some]])
+            assert [np.frombuffer(x, "<u2").tolist() for x in got] == [whole.encode(x, add_special_tokens=False).ids for x in odd[lo : lo + some]]
+
+
+def test_tokenizers_that_join_words_are_refused(tmp_path):
+    import public_tokenizers
+
+    good = public_tokenizers.path("word_bpe_49k.json")
+    tokenfiles.check_tokenizer(good)
+    with pytest.raises(ValueError, match="white space"):
+        tokenfiles.check_tokenizer(public_tokenizers.path("byte_bpe_50k.json"))
+    made = json.loads(open(good, encoding="utf-8").read())
+    for change in ({"pre_tokenizer": None}, {"normalizer": {"type": "Strip", "strip_left": True, "strip_right": True}}, {"added_tokens": [dict(made["added_tokens"][0], lstrip=True)]}):
+        (tmp_path / "t.json").write_text(json.dumps(made | change))
+        with pytest.raises(ValueError, match="white space"):
+            tokenfiles.check_tokenizer(str(tmp_path / "t.json"))
+
+
+def test_files_are_read_by_ranges_where_they_cannot_be_mapped(tmp_path, monkeypatch, spark):
+    import public_tokenizers
+
+    docs = spark.createDataFrame([(i, "word " * (i % 7)) for i in range(50)] + [(None, "x y"), (3, None)], "doc_id long, text string")
+    manifest = tokenfiles.write_tokens(docs, f"file://{tmp_path}/files", public_tokenizers.path("word_bpe_49k.json"))
+    found = json.loads((tmp_path / "files/manifest.json").read_text())
+    read = lambda: [(d, a, ids.tolist()) for x in found["shards"] for d, a, ids in tokenfiles.Shard(f"file://{tmp_path}/files", x["name"], found["dtype"]).documents(0, x["docs"])]
+    mapped = read()
+    monkeypatch.setattr(tokenfiles, "_local", lambda uri: None)
+    assert read() == mapped and len(mapped) == 52 and manifest.endswith("manifest.json")
