@@ -1,6 +1,7 @@
 """Cases in which an operator once did less than the whole job."""
 
 import random
+import re
 
 import corpus_pipeline
 from windlass.llm import decontam, dom, extraction, licenses
@@ -114,3 +115,46 @@ def test_the_longest_match_is_with_one_item(spark):
     for size in (16 << 20, 40):
         got = {r.doc_id: (r.longest, r.longest_at, r.n_hit) for r in decontam.contamination(docs, bench, block_bytes=size).collect()}
         assert got == {0: (18, 14, 30), 1: (2, 1, 2), 2: (0, 0, 0), 3: (20, 0, 20)}
+
+
+def places(words, template):
+    """Where a template's words stand in a row, without overlaps."""
+    out, k = [], 0
+    while k + len(template) <= len(words):
+        if words[k : k + len(template)] == template:
+            out.append((k, k + len(template)))
+            k += len(template)
+        else:
+            k += 1
+    return out
+
+
+def test_every_notice_is_found_however_close_the_next(spark):
+    rng, texts = random.Random(3), []
+    names = ["all-rights-reserved", "mit-line", "apache-2.0-line", "cc-by-nc-4.0-line", "gpl-3.0-line"]
+    for n in (1, 2, 6):
+        texts += [" ".join([licenses.TEMPLATES[k]] * n) for k in names]
+    texts += [licenses.TEMPLATES["all-rights-reserved"] + " so and " + licenses.TEMPLATES["mit-line"] + " so " + licenses.TEMPLATES["mit-line"], " ".join([licenses.TEMPLATES["mit"]] * 3)]
+    for _ in range(40):
+        texts.append(" ".join(rng.choice([licenses.TEMPLATES[rng.choice(names)], "river", "stone light under"]) for _ in range(rng.randrange(2, 14))))
+    got = {}
+    for r in licenses.scan_licenses(spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")).collect():
+        got.setdefault(r.doc_id, set()).add((r.license, r.first_word, r.last_word))
+    word = lambda t: re.findall(r"[0-9a-z\x80-\U0010ffff]+", t.lower())
+    for k, t in enumerate(texts):
+        expected = {(name, *p) for name in [*names, "mit"] for p in places(word(t), word(licenses.TEMPLATES[name]))}
+        assert got.get(k, set()) == expected, t
+
+
+def test_spans_are_compared_only_where_they_meet():
+    rng = random.Random(4)
+    for _ in range(50):
+        found = []
+        for k in range(rng.randrange(40)):
+            a = rng.randrange(600)
+            found.append((rng.randrange(20), (f"n{k}", a, a + rng.choice([3, 9, 200]), 3, rng.random())))
+        kept = []
+        for _, f in sorted(found, key=lambda f: (-f[0], -f[1][4], f[1][1], f[1][0])):
+            if not any(2 * (min(f[2], g[2]) - max(f[1], g[1])) > min(f[2] - f[1], g[2] - g[1]) for g in kept):
+                kept.append(f)
+        assert licenses.best_fits(found) == sorted(kept, key=lambda f: (f[1], f[0]))

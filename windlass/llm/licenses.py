@@ -147,39 +147,69 @@ def most(template: np.ndarray, text: np.ndarray, diagonal: int, band: int = BAND
     return int(hit.sum())
 
 
+def occurrences(template: np.ndarray, text: np.ndarray, hits: list[tuple[int, int]], least: float) -> Iterator[tuple[int, int, int]]:
+    """Matched words and span of each place where at least so many of a template's words match, given (position, place in the template) of its fingerprints.
+
+    An occurrence takes the hits inside it; the text before it and the text after it are
+    searched again with the hits that are left, so that one that follows another at once
+    is found as well.
+    """
+    todo = [(0, len(text), sorted(hits))]
+    while todo:
+        begin, end, left = todo.pop()
+        tried: set[int] = set()
+        while left:
+            d = left[0][0] - left[0][1]
+            lo, hi = max(begin, d - BAND), min(end, d + len(template) + 2 * BAND)
+            part = text[lo:hi]
+            if d in tried or len(part) < least or most(template, part, d - lo) < least:
+                left = left[1:]
+                continue
+            tried.add(d)
+            m, a, b = align(template, part, d - lo)
+            if m < least:
+                left = left[1:]
+                continue
+            a, b = lo + a, lo + b
+            yield m, a, b
+            todo.append((b, end, [h for h in left[1:] if h[0] >= b]))
+            end, left = a, [h for h in left[1:] if h[0] < a]
+            tried.clear()
+
+
+def best_fits(found: list[tuple[int, tuple[str, int, int, int, float]]]) -> list[tuple[str, int, int, int, float]]:
+    """Of spans that share more than half of the shorter one, the best; compared only within pieces of 64 words."""
+    found = sorted(found, key=lambda f: (-f[0], -f[1][4], f[1][1], f[1][0]))
+    kept: list[tuple[str, int, int, int, float]] = []
+    pieces: dict[int, list[tuple[str, int, int, int, float]]] = {}
+    for _, f in found:
+        here = range(f[1] >> 6, (f[2] - 1 >> 6) + 1)
+        if not any(2 * (min(f[2], g[2]) - max(f[1], g[1])) > min(f[2] - f[1], g[2] - g[1]) for k in here for g in pieces.get(k, ())):
+            kept.append(f)
+            for k in here:
+                pieces.setdefault(k, []).append(f)
+    return sorted(kept, key=lambda f: (f[1], f[0]))
+
+
 def matches(index: Index, text: np.ndarray, at: np.ndarray, keys: np.ndarray, coverage: float) -> list[tuple[str, int, int, int, float]]:
     """Templates found in a text's words, given the hits of its fingerprints: name, span, matched words, coverage.
 
     Of found spans that share more than half of the shorter one, the template stays that has
     most matched words less those missed, in the template and in the span.
     """
-    regions: dict[int, list[int]] = {}
+    hits: dict[int, list[tuple[int, int]]] = {}
     present = set(text.tolist())
     for p, k in zip(at.tolist(), keys.tolist(), strict=True):
         for t, q in index.postings[k]:
             if index.needed[t].keys() <= present:
-                regions.setdefault(t, []).append(p - q)
+                hits.setdefault(t, []).append((p, q))
     found = []
-    for t, diagonals in regions.items():
-        template, last = index.words[t], None
-        least = coverage * len(template)
-        for d in sorted(diagonals):
-            if last is not None and d - last <= BAND // 2:
-                continue
-            last = d
-            lo = max(0, d - BAND)
-            part = text[lo : d + len(template) + 2 * BAND]
-            if len(part) < least or most(template, part, d - lo) < least:
-                continue
-            m, a, b = align(template, part, d - lo)
-            if m >= least and index.needed[t] <= Counter(part[a:b].tolist()):
-                found.append((3 * m - len(template) - (b - a), (index.names[t], lo + a, lo + b, m, m / len(template))))
-    found.sort(key=lambda f: (-f[0], -f[1][4], f[1][1], f[1][0]))
-    kept: list[tuple[str, int, int, int, float]] = []
-    for _, f in found:
-        if not any(2 * (min(f[2], g[2]) - max(f[1], g[1])) > min(f[2] - f[1], g[2] - g[1]) for g in kept):
-            kept.append(f)
-    return sorted(kept, key=lambda f: (f[1], f[0]))
+    for t, places in hits.items():
+        template = index.words[t]
+        for m, a, b in occurrences(template, text, places, coverage * len(template)):
+            if index.needed[t] <= Counter(text[a:b].tolist()):
+                found.append((3 * m - len(template) - (b - a), (index.names[t], a, b, m, m / len(template))))
+    return best_fits(found)
 
 
 def _scanner(shared, coverage: float) -> Callable:
