@@ -158,3 +158,21 @@ def test_spans_are_compared_only_where_they_meet():
             if not any(2 * (min(f[2], g[2]) - max(f[1], g[1])) > min(f[2] - f[1], g[2] - g[1]) for g in kept):
                 kept.append(f)
         assert licenses.best_fits(found) == sorted(kept, key=lambda f: (f[1], f[0]))
+
+
+def test_stray_quotes_hide_no_text():
+    cases = {
+        "<article><p data=it's>Hello big text</p><p>More text, don't stop</p></article>": "Hello big text More text, don't stop",
+        '<p class=a">one</p><p "x">two</p>': "one two",
+        "<p title='a > b' id=x'y'>one<b '>two": "one two",
+        '<a href="x>y" ">link</a> "quoted" text': 'link  "quoted" text',
+        "<p =a=b c = 'd' e= f/>one</p>": "one",
+        "<p a=>one</p><p a='>lost": "one",
+        "<p>a</3>b<!x'y>c<?z'>d</ p>e": "a b c d e",
+        "<script>'</p><p>'</script x>after": "after",
+    }
+    for html, text in cases.items():
+        assert " ".join(dom.parse(html).texts).split() == text.split(), html
+    page = dom.parse("<div class=\"a b\" CLASS=c id='d e' role=f>x</div>")
+    assert page.tokens[1] == ("a", "b", "d", "e", "f")
+    assert dom.parse("<p " + "a='b' " * 30000 + "'" * 30000 + ">end").texts == ["end"]

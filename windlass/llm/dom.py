@@ -8,8 +8,12 @@ from html import unescape
 
 import numpy as np
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
-_ATTRIBUTE = re.compile(r"([^\s=\"'/]+)\s*=\s*(?:\"([^\"]*)\"?|'([^']*)'?|([^\s>]+))")
+# As browsers read tags: quotes count only where an attribute's value begins; elsewhere they are plain characters.
+_VALUE = r"(?:\"([^\"]*+)(?:\"|\Z)|'([^']*+)(?:'|\Z)|([^\s>\"'][^\s>]*+))"
+_NAMED = r"(=?[^\s/>=]*+)(?:\s*+=\s*+" + _VALUE + r"?)?"
+_UNNAMED = re.sub(r"\((?=[\[=])", "(?:", _NAMED)
+_TAG = re.compile(r"<!--.*?(?:--!?>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(?:[!?]|/(?![a-zA-Z]))[^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[\s/]++|(?=[^>])" + _UNNAMED + r")*+)(?:>|\Z)", re.S)
+_ATTRIBUTE = re.compile(r"(?=[^\s/>])" + _NAMED)
 _TOKEN = re.compile(r"[a-z]+")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe template".split())
@@ -19,6 +23,7 @@ BLOCK = frozenset(
 #: An element of the key's kind ends open elements of these kinds, up to the nearest of the scopes.
 _ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"thead", "tbody", "tr", "td", "th"}, "tfoot": {"thead", "tbody", "tr", "td", "th"}}
 _SCOPE = frozenset("html body table ul ol dl select article section div nav aside header footer main form".split())
+_ENDS_OF = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*(?:>|\Z)", re.I) for tag in RAW}
 
 
 @dataclass
@@ -40,7 +45,8 @@ def parse(html: str) -> Page:
 
     Missing end tags close where the next element of the kind begins, a block closes an
     open paragraph, an end tag without its start is skipped, and whatever is open at the
-    page's end ends there. The text of scripts, styles and the like is no text.
+    page's end ends there. The text of scripts, styles and the like is no text. A quote
+    holds a ``>`` only in a quoted value; a stray one is part of a name or a value.
     """
     page, stack = Page(), [0]
     places: dict[str, list[int]] = {}  # where in the stack each kind's open elements are
@@ -83,13 +89,13 @@ def parse(html: str) -> Page:
             for _ in _ENDS[tag]:
                 close(_ENDS[tag], _SCOPE - _ENDS[tag])
         node = len(page.tags)
-        names = {a.lower(): b or c or d or "" for a, b, c, d in _ATTRIBUTE.findall(m[3])} if m[3] else {}
+        names = {a.lower(): b or c or d or "" for a, b, c, d in reversed(_ATTRIBUTE.findall(m[3]))} if m[3] else {}
         page.tags.append(tag)
         page.parents.append(stack[-1])
         page.tokens.append(tuple(x for k in ("class", "id", "role", "itemprop") if k in names for x in _TOKEN.findall(names[k].lower())))
         page.markup.append(at - m.start())
         if tag in RAW and not m[0].endswith("/>"):
-            end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(html, at)
+            end = _ENDS_OF[tag].search(html, at)
             at = end.end() if end else len(html)
         elif tag == "br":
             text("\n")
