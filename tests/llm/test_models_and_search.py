@@ -3,6 +3,7 @@
 import json
 import math
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -99,6 +100,15 @@ def test_extraction_of_other_wrappings():
         assert dom.main_text(page, kept) == dom.main_text(plain, ex.kept([plain])[0])
 
 
+def test_extraction_goes_by_more_than_names():
+    """Pages whose parts are nameless boxes, as the fitted ones never are."""
+    pages = sample_pages()
+    ex = extraction.fit_extractor(pages[:40])
+    for html in pages[40:]:
+        plain, hidden = dom.parse(html), dom.parse(re.sub(r"<(/?)(?:nav|footer|article)\b", r"<\1div", html).replace("class='ad'", "class='xyzzy'"))
+        assert dom.main_text(hidden, ex.kept([hidden])[0]) == dom.main_text(plain, ex.kept([plain])[0])
+
+
 def test_licenses(spark):
     rng = random.Random(2)
     mit = licenses.TEMPLATES["mit"].split()
@@ -139,6 +149,21 @@ def test_nearest_is_exact_on_small_tables(spark):
     assert neighbours.nearest(spark.createDataFrame([], "vec_id long, embedding array<float>"), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_repeated_queries_ask_once(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, [float(x) for x in rng.normal(size=8)]) for i in range(60)]
+    table = rows + [rows[20], rows[20], (40, rows[7][1]), rows[33]]
+    got = {}
+    for r in neighbours.nearest(spark.createDataFrame(table, "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0, k=5).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    for q, vectors in ((0, [rows[0][1]]), (20, [rows[20][1]]), (40, [rows[40][1], rows[7][1]])):
+        expected = []
+        for v in vectors:
+            best = sorted((-float(np.cumsum(np.array(c) * np.array(v))[-1]), i) for i, c in table if i != q)[:5]
+            expected += [(k + 1, i, -s) for k, (s, i) in enumerate(best)]
+        assert sorted(got[q]) == sorted(expected)
+
+
 def test_nearest_recall(spark):
     rng = np.random.default_rng(1)
     centres = rng.normal(size=(40, 8))

@@ -17,8 +17,8 @@ from .scratch import Scratch
 SAMPLE_NUMBERS, SAMPLE_ROWS = 1 << 22, 8192
 #: Partitions, and the least sample rows for each.
 PARTS, LEAST = 32, 64
-#: Rows of a partition that are compared at once, and queries.
-SLICE, QUERIES = 16_384, 8_192
+#: Rows of a partition that a task holds, queries that it compares with them, and queries scored at once.
+SLICE, QUERIES, SCORED = 32_768, 32_768, 128
 GRAPH, HIDDEN, EPOCHS = 10, 96, 30
 
 
@@ -149,7 +149,7 @@ def _homes(router, dim: int) -> Callable:
     return assign
 
 
-def _routes(router, dim: int, probes: int, k: int, slices: list[int], sizes: list[int], blocks: int) -> Callable:
+def _routes(router, dim: int, probes: int, k: int, slices: list[int], sizes: list[int]) -> Callable:
     """Each query goes to its most probable parts, and on until they hold more than k rows."""
 
     def route(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,9 +167,9 @@ def _routes(router, dim: int, probes: int, k: int, slices: list[int], sizes: lis
                     row += [i] * cut[p]
                     part += [p] * cut[p]
                     piece += range(cut[p])
-            ids = b["vec_id"].take(pa.array(row, pa.int64()))
-            block = (np.array(ids.to_numpy(zero_copy_only=False)) // 20) % blocks
-            yield pa.RecordBatch.from_arrays([ids, b["v"].take(pa.array(row, pa.int64())), pa.array(part, pa.int32()), pa.array(piece, pa.int32()), pa.array(block, pa.int32())], ["vec_id", "v", "part", "piece", "block"])
+            row = pa.array(row, pa.int64())
+            columns = [*(b[c].take(row) for c in ("vec_id", "v", "key")), pa.array(part, pa.int32()), pa.array(piece, pa.int32()), b["block"].take(row)]
+            yield pa.RecordBatch.from_arrays(columns, ["vec_id", "v", "key", "part", "piece", "block"])
 
     return route
 
@@ -179,20 +179,20 @@ def _rerank(dim: int, k: int) -> Callable:
         found: list[tuple[np.ndarray, ...]] = []
         if left.num_rows and right.num_rows:
             q, c = _matrix(left["v"], dim), _matrix(right["v"], dim)
-            qid, cid = (t["vec_id"].to_numpy() for t in (left, right))
+            qid, cid, key = left["vec_id"].to_numpy(), right["vec_id"].to_numpy(), left["key"].to_numpy()
             slack = 1e-9 * np.linalg.norm(q, axis=1) * np.linalg.norm(c, axis=1).max()
-            for lo in range(0, len(q), 256):
-                s = q[lo : lo + 256] @ c.T
-                s[qid[lo : lo + 256][:, None] == cid[None, :]] = -np.inf
+            for lo in range(0, len(q), SCORED):
+                s = q[lo : lo + SCORED] @ c.T
+                s[qid[lo : lo + SCORED][:, None] == cid[None, :]] = -np.inf
                 n = min(k, s.shape[1])
                 floor = np.partition(s, s.shape[1] - n, axis=1)[:, s.shape[1] - n]
                 for i in range(len(s)):
                     at = np.flatnonzero((s[i] >= floor[i] - slack[lo + i]) & (s[i] > -np.inf))
                     exact = np.cumsum(c[at] * q[lo + i], axis=1)[:, -1]  # in the order of the components, so equal vectors score alike
                     best = np.lexsort((cid[at], -exact))[:k]
-                    found.append((np.full(len(best), qid[lo + i]), cid[at][best], exact[best]))
-        columns = [np.concatenate(x) for x in zip(*found, strict=True)] if found else [[], [], []]
-        return pa.Table.from_arrays([pa.array(x, t) for x, t in zip(columns, (pa.int64(), pa.int64(), pa.float64()), strict=True)], ["query_id", "vec_id", "score"])
+                    found.append((np.full(len(best), qid[lo + i]), np.full(len(best), key[lo + i]), cid[at][best], exact[best]))
+        columns = [np.concatenate(x) for x in zip(*found, strict=True)] if found else [[], [], [], []]
+        return pa.Table.from_arrays([pa.array(x, t) for x, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.float64()), strict=True)], ["query_id", "key", "vec_id", "score"])
 
     return rank
 
@@ -210,7 +210,8 @@ def nearest(vectors: DataFrame, queries: Column, *, k: int = 20, parts: int = PA
 
     Vectors that are null, zero, not of the most frequent length, or hold null or
     non-finite components take no part. A row is no candidate for queries of its own
-    vec_id; repeated rows are candidates each. Ties go to the smaller vec_id. A table
+    vec_id; repeated rows are candidates each, but ask once; rows of one vec_id with
+    different vectors ask each for itself. Ties go to the smaller vec_id. A table
     with fewer than 2 x 64 usable rows is one part, so its result is exact; a null vec_id
     takes no part. An empty table gives an empty result; other columns are ignored.
     """
@@ -227,11 +228,13 @@ def nearest(vectors: DataFrame, queries: Column, *, k: int = 20, parts: int = PA
     m = len(router.b2) if router else 1
     sizes = [counted.get(p, 0) for p in range(m)]
     slices = [max(1, -(-n // SLICE)) for n in sizes]
-    blocks = max(1, -(-homes.where(queries).count() // QUERIES))
-    asked = homes.where(queries).select("vec_id", "v").mapInArrow(_routes(shared, dim, probes, k, slices, sizes, blocks), "vec_id long, v array<double>, part int, piece int, block int")
-    piece = F.pmod(F.xxhash64("vec_id"), F.element_at(F.array(*map(F.lit, slices)), F.col("part") + 1)).cast("int")
+    distinct = scratch.cut(homes.where(queries).select("vec_id", "v", F.xxhash64("v").alias("key")).dropDuplicates(["vec_id", "v"]), "queries")
+    blocks = max(1, -(-distinct.count() // QUERIES))
+    distinct = distinct.withColumn("block", F.pmod(F.xxhash64("key", "vec_id"), F.lit(blocks)).cast("int"))
+    asked = distinct.mapInArrow(_routes(shared, dim, probes, k, slices, sizes), "vec_id long, v array<double>, key long, part int, piece int, block int")
+    piece = F.pmod(F.xxhash64("vec_id", "v"), F.element_at(F.array(*map(F.lit, slices)), F.col("part") + 1)).cast("int")
     candidates = homes.withColumn("piece", piece).withColumn("block", F.explode(F.array(*map(F.lit, range(blocks)))))
     keys = ["part", "piece", "block"]
-    found = asked.groupBy(*keys).cogroup(candidates.groupBy(*keys)).applyInArrow(_rerank(dim, k), "query_id long, vec_id long, score double")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    found = asked.groupBy(*keys).cogroup(candidates.groupBy(*keys)).applyInArrow(_rerank(dim, k), "query_id long, key long, vec_id long, score double")
+    rank = F.row_number().over(Window.partitionBy("query_id", "key").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
