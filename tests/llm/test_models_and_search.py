@@ -58,12 +58,34 @@ def test_quality_keeps_good_documents(spark):
 
 def test_cut_is_the_kth_largest(spark):
     rng = random.Random(4)
-    codes = [rng.randrange(1 << 32) for _ in range(300)] + [7] * 20 + [1 << 31] * 20
+    codes = [rng.randrange(1 << 48) for _ in range(200)] + [(5 << 32) + rng.randrange(1 << 20) for _ in range(100)] + [7] * 20 + [1 << 47] * 20
     df = spark.createDataFrame([(c,) for c in codes], "code long")
     for k in (1, 17, 150, 325, 340):
         assert quality._cut(df, k) == sorted(codes, reverse=True)[k - 1]
 
 
+def test_resampling_is_the_top_of_weights_and_noise(spark):
+    """Counts, weights, the number kept and the choice, all again in plain Python."""
+    rows, truth = quality_rows(3, 150)
+    docs = spark.createDataFrame(rows, DOCS).repartition(5)
+    labels = spark.createDataFrame(truth[:100], "doc_id long, quality int")
+    got = sorted((str(r.doc_id), r.n_grams, r.kept, r.log_weight) for r in quality.quality_scores(docs, labels).collect())
+    noise = {r.doc_id: r.g for r in docs.select("doc_id", quality.gumbel(F.col("doc_id")).alias("g")).collect()}
+    good = {i for i, q in truth[:100] if q}
+    grams = [quality.ngrams([(r[1] or "").encode()])[0].tolist() for r in rows]
+    raw, target = Counter(g for x in grams for g in x), Counter(g for r, x in zip(rows, grams, strict=True) if r[0] in good for g in x)
+    own = sum(target.values())
+    mixed = quality.PRIOR * (1 << quality.LOG2_BUCKETS) + quality.SHARE * own
+    weight = lambda g: math.log((target[g] + mixed * raw[g] / sum(raw.values())) / (own + mixed)) - math.log(raw[g] / sum(raw.values()))
+    weights = [sum(map(weight, x)) for x in grams]
+    k = round(sum(min(1, math.exp(w)) for w, x in zip(weights, grams, strict=True) if x))
+    keys = [w + noise[r[0]] if x else -math.inf for r, w, x in zip(rows, weights, grams, strict=True)]
+    cut = sorted(keys, reverse=True)[k - 1]
+    expected = sorted((str(r[0]), len(x), bool(x) and key >= cut - 1e-6, w) for r, x, w, key in zip(rows, grams, weights, keys, strict=True))
+    assert [g[:3] for g in got] == [e[:3] for e in expected] and 0 < k < len(rows)
+    assert [g[3] for g in got] == pytest.approx([e[3] for e in expected], abs=1e-6)
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T &amp; t</title><script>var a="<p>no</p>";</script><style>p{{}}</style></head><body><nav><ul><li><a href="/a">Home</a><li><a>News</a></ul></nav>
 <div class="ad">Buy now</div>{open}<h1>Title &amp; more</h1><p><b>Lead   in<br>two</b><p>Second<i> part</i>&nbsp;here &lt;b&gt;</p><ul><li>one<li>two</ul>{close}<footer>&copy; site</footer>{end}"""
 

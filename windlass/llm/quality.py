@@ -15,13 +15,13 @@ from .sampling import hash_sample
 from .scratch import RUN, Scratch, settings
 
 #: Buckets of unigrams and bigrams; counts travel in blocks of 2**LOG2_BLOCK.
-LOG2_BUCKETS, LOG2_BLOCK = 18, 12
-#: Labelled documents, chosen by hash: half fit the target model, half the calibration.
+LOG2_BUCKETS, LOG2_BLOCK = 12, 10
+#: Labelled documents that may fit the target model, chosen by hash.
 LABELLED = 20_000
-#: Added to each bucket's count.
-ALPHA = 0.1
-#: Keys are compared in steps of 2**-STEP from -OFFSET on, 32 bits in all.
-OFFSET, STEP = 2048.0, 20
+#: The raw model's weight in the target model: so many n-grams for each bucket, and this share of the target's own.
+PRIOR, SHARE = 128.0, 0.5
+#: Keys are compared in steps of 2**-STEP from -2**OFFSET on, 48 bits in all.
+OFFSET, STEP = 27, 20
 SEED = 11
 
 
@@ -42,8 +42,15 @@ def ngrams(values: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def log_ratio(target: np.ndarray, raw: np.ndarray) -> np.ndarray:
-    n = len(target) * ALPHA
-    return np.log((target + ALPHA) / (target.sum() + n)) - np.log((raw + ALPHA) / (raw.sum() + n))
+    """Log of the target model's probability of each bucket over the raw model's.
+
+    The target model is mixed with the raw one, so that a bucket of which the target
+    documents say little is neutral; otherwise a long text's sum would be that of the
+    errors of many rare buckets.
+    """
+    p, own = np.maximum(raw, 1) / max(1.0, raw.sum()), target.sum()
+    mixed = PRIOR * len(raw) + SHARE * own
+    return np.log((target + mixed * p) / (own + mixed)) - np.log(p)
 
 
 def _count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -84,33 +91,17 @@ def _scorer(ratio) -> Callable:
     return F.arrow_udf(score, "struct<n:long,s:double>")
 
 
-def _calibrate(mean: np.ndarray, good: np.ndarray) -> tuple[float, float]:
-    """Slope and intercept of the log odds of a good document, by Newton steps with a weak prior."""
-    x, y = np.stack((mean, np.ones(len(mean))), 1), good.astype(float)
-    w, prior = np.zeros(2), np.diag([1e-4, 1e-6])
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + prior + 1e-9 * np.eye(2), x.T @ (y - p) - prior @ w)
-        w = w + step
-        if np.abs(step).max() < 1e-6:
-            break
-    return float(w[0]), float(w[1])
-
-
 @dataclass
 class QualityModel:
-    """What decides on a document: the n-grams' log ratios, the calibration, and the key's cut."""
+    """What decides on a document: the n-grams' log ratios and the key's cut."""
 
     ratio: object
-    slope: float
-    intercept: float
     cut: int = 0
 
     def scores(self, docs: DataFrame) -> DataFrame:
-        """docs with ``n_grams, log_ratio, log_odds`` and ``code`` (the key in steps)."""
-        scored = docs.withColumn("_s", _scorer(self.ratio)("text")).withColumns({"n_grams": F.col("_s.n"), "log_ratio": F.col("_s.s")}).drop("_s")
-        odds = F.when(F.col("n_grams") > 0, F.col("log_ratio") / F.col("n_grams") * self.slope + self.intercept).otherwise(F.lit(-OFFSET))
-        return scored.withColumn("log_odds", odds).withColumn("code", _code(F.col("log_odds") + gumbel(F.col("doc_id"))))
+        """docs with ``n_grams, log_weight`` and ``code`` (the key in steps)."""
+        scored = docs.withColumn("_s", _scorer(self.ratio)("text")).withColumns({"n_grams": F.col("_s.n"), "log_weight": F.col("_s.s")}).drop("_s")
+        return scored.withColumn("code", _code(F.col("log_weight") + gumbel(F.col("doc_id"))))
 
     def kept(self) -> Column:
         return (F.col("n_grams") > 0) & (F.col("code") >= self.cut)
@@ -123,15 +114,15 @@ def gumbel(key: Column) -> Column:
 
 
 def _code(key: Column) -> Column:
-    return F.greatest(F.lit(0), F.least(F.lit((1 << 32) - 1), F.floor((key + OFFSET) * float(1 << STEP)).cast("long"))).cast("long")
+    return F.greatest(F.lit(0), F.least(F.lit((1 << 48) - 1), F.floor((key + float(1 << OFFSET)) * float(1 << STEP)).cast("long"))).cast("long")
 
 
 def _cut(codes: DataFrame, k: int) -> int:
-    """The k-th largest code: a histogram of its high half, then one of the low half in the bucket at the boundary."""
+    """The k-th largest code: a histogram of its highest 16 bits, then of the next in the bucket at the boundary, then of the last."""
     prefix, left = 0, k
-    for shift in (16, 0):
+    for shift in (32, 16, 0):
         bucket = F.shiftright("code", shift)
-        part = codes if shift else codes.where(F.shiftright("code", 16) == prefix)
+        part = codes if shift == 32 else codes.where(F.shiftright("code", shift + 16) == prefix)
         for b, n in sorted((tuple(r) for r in part.groupBy(bucket.alias("b")).count().collect()), reverse=True):
             prefix = b
             if n >= left:
@@ -140,62 +131,52 @@ def _cut(codes: DataFrame, k: int) -> int:
     return prefix
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, *, labelled: int = LABELLED, scratch: Scratch | None = None) -> tuple[QualityModel, DataFrame | None]:
+def fit_quality(docs: DataFrame, labels: DataFrame, *, labelled: int = LABELLED, scratch: Scratch | None = None) -> tuple[QualityModel, DataFrame]:
     """Fit the models on ``docs`` and ``labels`` (doc_id, quality); also gives all documents' scores.
 
     The raw model counts the n-grams of all documents; the target model those of good
-    documents among at most ``labelled`` labelled ones. A document's log importance is the
-    sum of its n-grams' log ratios; the other half of the labelled documents calibrates
-    its mean into log odds of being good. The number kept is the sum of these odds'
-    probabilities over all documents, chosen as the top of log odds plus Gumbel noise,
-    which samples without replacement in proportion to the weights. Nothing is sorted.
+    documents among at most ``labelled`` labelled ones. A document's log importance weight
+    is the sum of its n-grams' log ratios. As many are kept as the sum of min(1, weight):
+    a document at least as likely under the target counts once, another in proportion.
+    They are those of largest log weight plus Gumbel noise, which samples without
+    replacement in proportion to the weights. Nothing is sorted.
     """
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark, "quality")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     known = labels.where("doc_id IS NOT NULL AND quality IN (0, 1)").groupBy(F.col("doc_id").cast("long").alias("d")).agg(F.min("quality").alias("quality"))
     known = scratch.cut(known, "labels")
-    known = scratch.cut(hash_sample(known, F.col("d"), labelled).withColumn("fits", F.pmod(F.xxhash64("d"), F.lit(2)) == 0), "known")
-    marked = rows.join(F.broadcast(known), F.col("doc_id") == F.col("d"), "left")  # at most `labelled` rows of 13 bytes
-    parts = marked.select("text", (F.col("fits") & (F.col("quality") == 1)).alias("good")).mapInArrow(_count, "block long, counts binary")
+    known = scratch.cut(hash_sample(known, F.col("d"), labelled), "known")
+    marked = rows.join(F.broadcast(known), F.col("doc_id") == F.col("d"), "left")  # at most `labelled` rows of 12 bytes
+    parts = marked.select("text", (F.col("quality") == 1).alias("good")).mapInArrow(_count, "block long, counts binary")
     counts = np.zeros((2, 1 << LOG2_BUCKETS), np.int64)
     with settings(spark, RUN):
         sums = parts.repartition(16, "block").mapInArrow(_add, "block long, counts binary").collect()
     for r in sums:
         counts[r.block >> 32].reshape(-1, 1 << LOG2_BLOCK)[r.block & 0xFFFFFFFF] = np.frombuffer(r.counts, np.int64)
-    if not counts[1].any():
-        return QualityModel(spark.sparkContext.broadcast(np.zeros(counts.shape[1])), 0.0, 0.0), None
-    model = QualityModel(spark.sparkContext.broadcast(log_ratio(counts[1].astype(float), counts[0].astype(float))), 0.0, 0.0)
-    scores = scratch.cut(model.scores(rows).select("doc_id", "n_grams", "log_ratio"), "scores")
-    held = scores.where("n_grams > 0").join(F.broadcast(known.where("NOT fits")), F.col("doc_id") == F.col("d")).select("d", "quality", (F.col("log_ratio") / F.col("n_grams")).alias("mean")).groupBy("d").agg(F.max("quality").alias("quality"), F.max("mean").alias("mean")).collect()
-    mean, good = np.array([r.mean for r in held]), np.array([r.quality == 1 for r in held])
-    if good.all() or not good.any():
-        return model, None
-    model.slope, model.intercept = _calibrate(mean, good)
-    odds = F.when(F.col("n_grams") > 0, F.col("log_ratio") / F.col("n_grams") * model.slope + model.intercept).otherwise(F.lit(-OFFSET))
-    scores = scores.withColumn("log_odds", odds).withColumn("code", _code(F.col("log_odds") + gumbel(F.col("doc_id"))))
-    k = scores.where("n_grams > 0").agg(F.round(F.sum(1 / (1 + F.exp(-F.col("log_odds"))))).cast("long")).first()[0] or 0
-    model.cut = _cut(scores.where("n_grams > 0").select("code"), k) if k else 1 << 32
+    model = QualityModel(spark.sparkContext.broadcast(log_ratio(counts[1].astype(float), counts[0].astype(float))))
+    scores = scratch.cut(model.scores(rows).select("doc_id", "n_grams", "log_weight", "code"), "scores")
+    if counts[1].any():
+        k = scores.where("n_grams > 0").agg(F.round(F.sum(F.exp(F.least(F.lit(0.0), "log_weight")))).cast("long")).first()[0] or 0
+        model.cut = _cut(scores.where("n_grams > 0").select("code"), k) if k else 1 << 48
     return model, scores
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, *, labelled: int = LABELLED) -> DataFrame:
-    """``doc_id, n_grams, log_ratio, log_odds, kept`` for every document.
+    """``doc_id, n_grams, log_weight, kept`` for every document.
 
     Null and empty texts have no n-grams and are not kept. Documents with equal doc_id and
     text share their noise and are kept or left together. A label that is null or not 0
-    or 1 is ignored; of several for a document the worst counts. Without good and bad
-    labelled documents there is nothing to tell them by, and every document with text is
-    kept. An empty table gives an empty result; other columns are ignored.
+    or 1 is ignored; of several for a document the worst counts. Without good labelled
+    documents there is nothing to tell by, and every document with text is kept. An empty
+    table gives an empty result; other columns are ignored.
     """
     model, scores = fit_quality(docs, labels, labelled=labelled)
-    if scores is None:
-        scores = model.scores(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
-    return scores.withColumn("kept", model.kept()).select("doc_id", "n_grams", "log_ratio", "log_odds", "kept")
+    return scores.select("doc_id", "n_grams", "log_weight", model.kept().alias("kept"))
 
 
 def keep_quality(docs: DataFrame, labels: DataFrame, *, labelled: int = LABELLED) -> DataFrame:
-    """The documents that :func:`quality_scores` keeps, with their own columns."""
+    """The documents that :func:`quality_scores` keeps, with their own columns; odd rows and empty tables as there."""
     model, _ = fit_quality(docs, labels, labelled=labelled)
     own = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     return model.scores(own).where(model.kept()).select("row.*")
