@@ -176,3 +176,54 @@ def test_stray_quotes_hide_no_text():
     page = dom.parse("<div class=\"a b\" CLASS=c id='d e' role=f>x</div>")
     assert page.tokens[1] == ("a", "b", "d", "e", "f")
     assert dom.parse("<p " + "a='b' " * 30000 + "'" * 30000 + ">end").texts == ["end"]
+
+
+def test_suffix_arrays_are_sorted_and_searched_right():
+    rng = random.Random(8)
+    for round_ in range(30):
+        vocabulary = "a b c d e f".split()[: rng.choice([1, 2, 6])]
+        text = lambda n: " ".join(rng.choice(vocabulary) for _ in range(n))
+        values = [text(rng.randrange(12)) for _ in range(rng.randrange(1, 8))]
+        values += [values[0], "", text(60)]
+        items = decontam.Items([(str(k), text(rng.randrange(9)).encode()) for k in range(5)] + [("z", b"a zz b")], 3)
+        array = decontam.SuffixArray([v.encode() for v in values], max(items.longest, rng.choice([1, 70])))
+        split = [v.split() for v in values]
+        flat = [(d, k) for d, w in enumerate(split) for k in range(len(w))]
+        assert sorted(array.word[array.array].tolist()) == list(range(len(flat)))
+        n, where = array.longest(items)
+        listed = [x[0].split() for x in [[items.buf[items.start[i] : items.end[i + items.left[i] - 1]].decode()] for i in range(len(items.left))]]
+        common = lambda x, y: next((k for k, (p, q) in enumerate(zip(x, y, strict=False)) if p != q), min(len(x), len(y)))
+        for i, suffix in enumerate(listed):
+            best = max((common(suffix, split[d][k:]) for d, k in flat), default=0)
+            assert n[i] == best and (best == 0) == (where[i] < 0)
+            if best:
+                d, k = flat[where[i]]
+                assert common(suffix, split[d][k:]) == best
+        word, place = array.hits(items, n)
+        expected = sorted((f, i) for f, (d, k) in enumerate(flat) for i, suffix in enumerate(listed) if (m := int(items.window[i])) and split[d][k : k + m] == suffix[:m])
+        assert sorted(zip(word.tolist(), place.tolist(), strict=True)) == expected
+
+
+def test_longest_matches(spark):
+    rng = random.Random(9)
+    text = lambda n: " ".join(rng.choice("a b c d e f g h".split()) for _ in range(n))
+    rows = [(k, text(rng.randrange(40))) for k in range(30)] + [(None, None), (50, "")]
+    items = [(k, text(rng.randrange(12))) for k in range(12)] + [(3, text(9)), (20, "zz"), (21, None), (None, "a b")]
+    got = {}
+    for size in (1 << 20, 40):
+        docs, bench = spark.createDataFrame(rows, "doc_id long, text string").repartition(3), spark.createDataFrame(items, "item_id long, text string")
+        got[size] = {r.item_id: (r.words, r.doc_id, r.doc_at, r.item_at) for r in decontam.longest_matches(docs, bench, block_bytes=size).collect()}
+    best = {}
+    for i, t in items:
+        w = (t or "").split()
+        for d, u in rows:
+            x = (u or "").split()
+            for a in range(len(w)):
+                for b in range(len(x)):
+                    n = 0
+                    while a + n < len(w) and b + n < len(x) and w[a + n] == x[b + n]:
+                        n += 1
+                    if n:
+                        key = "null" if i is None else str(i)
+                        best[key] = min(best.get(key, (0,)), (-n, -1 if d is None else d, b, a))
+    assert got[1 << 20] == got[40] == {k: (-v[0], None if v[1] == -1 else v[1], v[2], v[3]) for k, v in best.items()}
