@@ -4,7 +4,7 @@ import random
 import re
 
 import corpus_pipeline
-from windlass.llm import decontam, dom, extraction, licenses
+from windlass.llm import decontam, dom, extraction, licenses, scratch
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 NOISE = "the river and the stone under a light of morning walks home again "
@@ -227,3 +227,19 @@ def test_longest_matches(spark):
                         key = "null" if i is None else str(i)
                         best[key] = min(best.get(key, (0,)), (-n, -1 if d is None else d, b, a))
     assert got[1 << 20] == got[40] == {k: (-v[0], None if v[1] == -1 else v[1], v[2], v[3]) for k, v in best.items()}
+
+
+def test_pipelines_and_threads_leave_each_other_alone(spark):
+    with scratch.collected() as outer:
+        a = scratch.Scratch(spark, "a")
+        with scratch.collected() as inner:
+            b = scratch.Scratch(spark, "b")
+        c = scratch.Scratch(spark, "c")
+    scratch.Scratch(spark, "d")
+    assert outer == [a, c] and inner == [b]
+    key, before = "spark.sql.execution.arrow.maxRecordsPerBatch", spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    with scratch.settings(spark, {key: "7"}):
+        with scratch.settings(spark, {key: "7"}):
+            pass
+        assert spark.conf.get(key) == "7"
+    assert spark.conf.get(key) == before

@@ -12,30 +12,35 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sizes, targets and words taken. Null text has size 0, a null source is the last source, equal doc_ids are taken alike; an empty table gives an empty result."""
     from .mixing import mix_sources
 
     return mix_sources(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op2_remove_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words, words removed and the digest of the rest. Null and empty texts have no words; repeated rows repeat each other's windows; an empty table gives an empty result."""
     from .substrings import remove_repeats
 
     return remove_repeats(_table(spark, sf_dir, "documents"), with_text=False).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log importance weights and the choice. Null and empty texts are not kept; rows of equal doc_id and text are chosen alike; null labels are ignored; empty tables give an empty result."""
     from .quality import quality_scores
 
     return quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
 def op4_extract_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main texts. Null and empty html give the empty text, null ids stay null, repeated pages have a row each; an empty table gives an empty result."""
     from .extraction import extract_text
 
     return extract_text(_table(spark, sf_dir, "pages"))
 
 
 def op5_token_files(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
+    """Places and checksums read back from the token files. Null and empty texts are the end id alone, a null doc_id comes first, repeated rows are written each; an empty table gives an empty result."""
     from .tokenfiles import token_files
 
     if tokenizer is None:
@@ -46,12 +51,14 @@ def op5_token_files(spark: SparkSession, sf_dir: str, tokenizer: str | None = No
 
 
 def op6_scan_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licenses with spans and coverage. Null and empty texts match nothing, a null doc_id stays null, repeated rows are reported each; an empty table gives an empty result."""
     from .licenses import scan_licenses
 
     return scan_licenses(_table(spark, sf_dir, "documents"))
 
 
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words hit and items found. Null and empty texts have no words, a null item_id is the text "null", repeated documents have a row each; empty tables give no hits, or no rows."""
     from .decontam import contamination
 
     found = contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
@@ -59,6 +66,7 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest of each query. Vectors that can't be compared and null ids take no part, ties go to the smaller vec_id, repeated queries ask once; an empty table gives an empty result."""
     from pyspark.sql import functions as F
 
     from .neighbours import nearest
@@ -67,6 +75,7 @@ def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints and components. Null and empty texts have fingerprint 0 and link, a null doc_id never names a component, repeated rows have a row each; an empty table gives an empty result."""
     from pyspark.sql import functions as F
 
     from .simhash import hex_digits, near_duplicates
@@ -75,6 +84,7 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents. Null and empty texts are one end token, a null doc_id counts as the empty text, repeated rows count and score each; an empty table gives an empty result."""
     from .pitmanyor import score_documents
 
     return score_documents(_table(spark, sf_dir, "documents"))

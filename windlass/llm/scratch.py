@@ -10,9 +10,12 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import threading
 import uuid
+from collections import Counter
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -38,29 +41,51 @@ def shared_root(spark: SparkSession) -> str:
 RUN = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "2000"}
 
 
+_lock, _users, _before = threading.Lock(), Counter(), {}
+
+
 @contextmanager
 def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
-    """Session settings for the jobs run inside."""
-    before = {k: spark.conf.get(k, None) for k in values}
-    for k, v in values.items():
-        spark.conf.set(k, v)
+    """Session settings for the jobs run inside; where several threads ask for them, they stay until the last is done."""
+    with _lock:
+        for k, v in values.items():
+            if not _users[k, v]:
+                _before[k, v] = spark.conf.get(k, None)
+                spark.conf.set(k, v)
+            _users[k, v] += 1
     try:
         yield
     finally:
-        for k, v in before.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+        with _lock:
+            for k, v in values.items():
+                _users[k, v] -= 1
+                if not _users[k, v]:
+                    before = _before.pop((k, v))
+                    spark.conf.unset(k) if before is None else spark.conf.set(k, before)
+
+
+_made: ContextVar[list["Scratch"] | None] = ContextVar("made", default=None)
+
+
+@contextmanager
+def collected() -> Iterator[list["Scratch"]]:
+    """All folders that this thread's operators open inside."""
+    made: list[Scratch] = []
+    token = _made.set(made)
+    try:
+        yield made
+    finally:
+        _made.reset(token)
 
 
 class Scratch:
     """One operator call's folder under :func:`shared_root`."""
 
-    #: All that this process has opened, in order.
-    opened: list["Scratch"] = []
-
     def __init__(self, spark: SparkSession, name: str) -> None:
         self.spark = spark
         self.path = f"{shared_root(spark)}/windlass/{name}-{uuid.uuid4().hex}"
-        Scratch.opened.append(self)
+        if (made := _made.get()) is not None:
+            made.append(self)
 
     def cut(self, df: DataFrame, tag: str) -> DataFrame:
         """Write df and read it back; its shuffle files go once it is written."""
