@@ -1,4 +1,4 @@
-"""python -m windlass prepare | evaluate | cascade: the plans over files."""
+"""python -m windlass prepare | train | evaluate | cascade: the plans over files."""
 
 from __future__ import annotations
 
@@ -19,6 +19,15 @@ def prepare(spark: SparkSession, a: argparse.Namespace) -> None:
     plan.write(plan.from_csv(spark, found, column_map=json.loads(Path(a.column_map).read_text()) if a.column_map else None), a.output, [a.raw])
 
 
+def train(spark: SparkSession, a: argparse.Namespace) -> None:
+    """Prepared tables to detectors, a frozen choice, and predictions of all splits; --runs is a JSON list of runs."""
+    from .plans import train as plan
+
+    runs = [plan.Run(**r) for r in json.loads(Path(a.runs).read_text())] if a.runs else plan.DEFAULT
+    plan.train(spark, a.prepared, a.output, runs, max_fpr=a.max_fpr)
+    plan.select(spark, a.output, runs)
+
+
 def evaluate(spark: SparkSession, a: argparse.Namespace) -> None:
     """Thresholds from the validation scores, then metrics, strata and intervals of the others, as JSON."""
     from .plans import evaluate as plan
@@ -49,14 +58,16 @@ def cascade(spark: SparkSession, a: argparse.Namespace) -> None:
 def main(argv: list[str] | None = None) -> None:
     parser = argparse.ArgumentParser(prog="windlass", description=__doc__)
     sub = parser.add_subparsers(required=True)
-    for f, options in ((prepare, ("raw", "output")), (evaluate, ("scores", "output")), (cascade, ("predictions", "features", "output"))):
+    for f, options in ((prepare, ("raw", "output")), (train, ("prepared", "output")), (evaluate, ("scores", "output")), (cascade, ("predictions", "features", "output"))):
         p = sub.add_parser(f.__name__, help=f.__doc__)
         p.set_defaults(run=f)
         for o in options:
             p.add_argument(f"--{o}", required=True)
         if f is prepare:
             p.add_argument("--column-map")
-        if f is evaluate:
+        if f is train:
+            p.add_argument("--runs")
+        if f in (train, evaluate):
             p.add_argument("--max-fpr", type=float, default=0.01)
         if f is cascade:
             p.add_argument("--endpoint")

@@ -565,7 +565,7 @@ def reconstruction_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluation.cluster_bootstrap(detections(spark, sf_dir))
+    return evaluation.poisson_bootstrap(detections(spark, sf_dir))
 
 
 @query()
@@ -581,7 +581,7 @@ _MODEL_NAMES = [f for f in features.CORE if f != "iat_cv"] + ["iat_cv"]
 def scored_splits(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Scaled core features with label and recording weight: the train split, and all."""
     tab = tabular(spark, sf_dir).persist()  # a row a window; every fit reads it again
-    tab = scaling.apply(tab, scaling.fit_features(tab, features.CORE))
+    tab = scaling.apply(tab, scaling.fit_features(tab, features.CORE)).persist()  # so that what follows is no part of this projection
     return sampling.recording_weights(tab.where("split = 'train'")), tab
 
 

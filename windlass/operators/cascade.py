@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.nulls import finite
-from .metrics import binary_metrics, confusion
+from .metrics import binary_metrics, confusion, error_type
 
 # The features shown to the arbitrator.
 PROMPT_FEATURES = [
@@ -197,6 +197,28 @@ def production(df: DataFrame, enabled: bool) -> DataFrame:
     return df.withColumn("production_prediction", F.col("arbitrated_prediction" if enabled else "cascade_prediction"))
 
 
+def errors_with_features(df: DataFrame, features: DataFrame, prediction: str = "prediction") -> DataFrame:
+    """Misclassified rows with their ``error_type`` and their raw features."""
+    wrong = df.withColumn("error_type", error_type(prediction)).where("error_type <> 'correct'")
+    more = [c for c in features.columns if c == "sample_id" or c not in wrong.columns]
+    return wrong.join(require_unique(features.select(*more), ["sample_id"]), "sample_id")
+
+
+def disagreements_with_features(df: DataFrame, features: DataFrame) -> DataFrame:
+    """The rows on which detectors differ, with their features."""
+    rows = disagreements(df)
+    more = [c for c in features.columns if c == "sample_id" or c not in rows.columns]
+    return rows.join(require_unique(features.select(*more), ["sample_id"]), "sample_id")
+
+
+def mapped(x: Column, values: dict, default: Column | None = None) -> Column:
+    """x by a table of values; what is not in it becomes the default, or NULL."""
+    out = default if default is not None else F.lit(None)
+    for k, v in reversed(values.items()):
+        out = F.when(x == F.lit(k), F.lit(v)).otherwise(out)
+    return out
+
+
 def disagreements(df: DataFrame) -> DataFrame:
     """Rows whose ``*_prediction`` columns are not all equal."""
     columns = [c for c in df.columns if c.endswith("_prediction")]

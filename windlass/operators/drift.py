@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.nulls import finite
 from ..functions.tails import normal_tail
+from .prefix import percentiles_by, running_sums
 
 # Sizes of Cliff's delta, from below.
 MAGNITUDES = [(0.147, "negligible"), (0.33, "small"), (0.474, "medium"), (math.inf, "large")]
@@ -31,29 +32,27 @@ def shift(reference: DataFrame, held_out: DataFrame, by: list[str]) -> DataFrame
     Both sides are tables of :func:`group_medians` with ``label``; NULL where the range is
     next to nothing. Only equal labels are compared.
     """
-    q = F.percentile("value", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    ref = reference.groupBy("label", "feature").agg(q.alias("q")).select("label", "feature", F.col("q")[1].alias("center"), (F.col("q")[2] - F.col("q")[0]).alias("iqr"))
-    out = held_out.groupBy("label", "feature", *by).agg(F.percentile("value", F.lit(0.5)).alias("median"), F.count("*").alias("n"))
+    ref = percentiles_by(reference, ["label", "feature"], "value", [0.25, 0.5, 0.75]).select("label", "feature", F.col("q")[1].alias("center"), (F.col("q")[2] - F.col("q")[0]).alias("iqr"))
+    out = percentiles_by(held_out, ["label", "feature", *by], "value", [0.5]).select("label", "feature", *by, "n", F.col("q")[0].alias("median"))
     return out.join(ref, ["label", "feature"]).withColumn("shift", F.when(F.col("iqr") > 1e-12, (F.col("median") - F.col("center")) / F.col("iqr")))
 
 
 def ks_statistic(values: DataFrame, keys: list[str]) -> DataFrame:
     """``keys, n1, n2, ks``: the largest gap of two empirical distributions; ``second`` (boolean) tells the samples apart.
 
-    Equal values are summed first, and the running counts are taken within ``keys``.
+    Equal values are summed first, and the running counts are taken within ``keys``, range by range.
     """
     per = values.groupBy(*keys, "value").agg(F.count_if(~F.col("second")).alias("a"), F.count_if("second").alias("b"))
-    upto, whole = Window.partitionBy(*keys).orderBy("value"), Window.partitionBy(*keys)
-    gaps = per.select(*keys, F.sum("a").over(upto).alias("a"), F.sum("b").over(upto).alias("b"), F.sum("a").over(whole).alias("n1"), F.sum("b").over(whole).alias("n2"))
+    gaps = running_sums(per, "value", ["a", "b"], keys=keys).select(*keys, F.col("a_upto").alias("a"), F.col("b_upto").alias("b"), F.col("a_all").alias("n1"), F.col("b_all").alias("n2"))
     return gaps.groupBy(*keys).agg(F.max("n1").alias("n1"), F.max("n2").alias("n2"), F.max(F.when((F.col("n1") > 0) & (F.col("n2") > 0), F.abs(F.col("a") / F.col("n1") - F.col("b") / F.col("n2")))).alias("ks"))
 
 
 def mann_whitney(values: DataFrame, keys: list[str]) -> DataFrame:
     """``keys, n1, n2, u, ties``: U of the rows with ``second`` from mid-ranks; ties is the sum of t^3 - t."""
     per = values.groupBy(*keys, "value").agg(F.count_if("second").alias("b"), F.count("*").alias("n"))
-    rank = F.sum("n").over(Window.partitionBy(*keys).orderBy("value")) - (F.col("n") - 1) / 2.0
+    rank = F.col("n_upto") - (F.col("n") - 1) / 2.0
     t = F.col("n").cast("double")
-    sums = per.withColumn("rank", rank).groupBy(*keys).agg(F.sum(F.col("rank") * F.col("b")).alias("r"), F.sum("b").alias("n2"), (F.sum("n") - F.sum("b")).alias("n1"), F.sum(t * t * t - t).alias("ties"))
+    sums = running_sums(per, "value", ["n"], keys=keys).withColumn("rank", rank).groupBy(*keys).agg(F.sum(F.col("rank") * F.col("b")).alias("r"), F.sum("b").alias("n2"), (F.sum("n") - F.sum("b")).alias("n1"), F.sum(t * t * t - t).alias("ties"))
     return sums.select(*keys, "n1", "n2", (F.col("r") - F.col("n2") * (F.col("n2") + 1) / 2.0).alias("u"), "ties")
 
 

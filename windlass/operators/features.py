@@ -36,8 +36,8 @@ CORE = [f for f in FEATURES if f not in NOT_CORE]
 
 
 def _shares(column: str, prefix: str, known: list[str]) -> list[Column]:
-    """Shares of upper-cased values; NULL counts as the value NULL."""
-    value = F.upper(F.coalesce(F.trim(column), F.lit("NULL")))
+    """Shares of upper-cased values, blanks and all; NULL counts as the value NULL."""
+    value = F.upper(F.coalesce(column, F.lit("NULL")))
     return [share_where(value == k).alias(f"{prefix}_{k.lower()}_ratio") for k in known] + [share_where(~value.isin(known)).alias(f"{prefix}_other_ratio")]
 
 

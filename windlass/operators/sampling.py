@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.nulls import finite
+from .prefix import exact_percentiles
 
 
 def recording_weights(df: DataFrame) -> DataFrame:
@@ -55,8 +56,7 @@ def weighted_sample(df: DataFrame, *, n: int, weight: str = "weight", key: str =
 
 def medians(df: DataFrame, names: list[str]) -> dict[str, float]:
     """Exact medians of the finite values; 0 for a column without any."""
-    row = df.agg(*(F.percentile(finite(F.col(c)), F.lit(0.5)).alias(c) for c in names)).first()
-    return {c: 0.0 if row[c] is None else row[c] for c in names}
+    return {c: q[0] if q else 0.0 for c, q in exact_percentiles(df, {c: finite(F.col(c)) for c in names}, [0.5]).items()}
 
 
 def imputed(df: DataFrame, values: dict[str, float]) -> DataFrame:

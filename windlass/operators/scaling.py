@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.nulls import finite
-from .windows import recording_order
+from .prefix import exact_percentiles
+from .windows import is_large, recording_order, time_ranges
 
 # Channels of a transaction in their order; the inter-arrival time comes from neighbouring rows.
 CHANNELS = [
@@ -35,22 +36,33 @@ def transformed(x: Column, rule: str) -> Column:
     return F.log1p(F.when(x.isNotNull(), F.greatest(x, F.lit(0.0)))) if rule == "log1p_robust" else x
 
 
-def recording_iat(rows: DataFrame) -> DataFrame:
-    """Adds ``interarrival_time``: the gap to the row before in the whole recording, NULL if negative or not finite."""
+def recording_iat(rows: DataFrame, *, large: bool | None = None) -> DataFrame:
+    """Adds ``interarrival_time``: the gap to the row before in the whole recording, NULL if negative or not finite.
+
+    Where a recording is too ``large`` for a task (None: see windows.is_large), gaps are taken
+    within ranges of time, and a range's first row follows the last time of the range before.
+    """
     ts = finite(F.col("request_timestamp"))
+    if is_large(rows, "split_group_id") if large is None else large:
+        rows = time_ranges(rows, ts)
+        per = rows.groupBy(F.col("split_group_id").alias("_g"), F.col("_p").alias("_q")).agg(F.max("_t").alias("_last"))
+        per = per.withColumn("_before", F.lag("_last").over(Window.partitionBy("_g").orderBy("_q")))
+        rows = rows.join(per, F.col("split_group_id").eqNullSafe(F.col("_g")) & (F.col("_p") == F.col("_q")))
+        inside = F.lag("_t").over(Window.partitionBy("split_group_id", "_p").orderBy(F.col("_t").asc_nulls_last(), "ingest_seq"))
+        gap = F.col("_t") - F.coalesce(inside, F.col("_before"))
+        return rows.withColumn("interarrival_time", F.when(gap >= 0, gap)).drop("_t", "_p", "_g", "_q", "_last", "_before")
     gap = ts - F.lag(ts).over(Window.partitionBy("split_group_id").orderBy(*recording_order()))
     return rows.withColumn("interarrival_time", F.when(gap >= 0, gap))
 
 
 def fit(df: DataFrame, rules: dict[str, str]) -> list[dict]:
-    """Scaler rows ``feature, transformation, center, iqr`` from one aggregation.
+    """Scaler rows ``feature, transformation, center, iqr``.
 
     Exact quartiles of the transformed finite values; without any, center 0 and iqr 1; an
     iqr of next to nothing is 1. Clipped features are not scaled.
     """
-    quartiles = F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
     scaled = {k: r for k, r in rules.items() if r != "identity_clip_0_1"}
-    row = df.agg(*(F.percentile(transformed(F.col(k), r), quartiles).alias(k) for k, r in scaled.items())).first() if scaled else {}
+    row = exact_percentiles(df, {k: transformed(F.col(k), r) for k, r in scaled.items()}, [0.25, 0.5, 0.75])
     out = []
     for name, rule in rules.items():
         q = (row[name] if name in scaled else None) or [0.0, 0.0, 1.0]

@@ -24,6 +24,26 @@ def numbered(df: DataFrame, *, group: str, order: list[Column], size: int = SIZE
     return out.withColumn("window_tx_count", F.least(F.lit(size).cast("long"), F.col("_n") - F.col("window_number") * size)).drop("_rn", "_n")
 
 
+#: Rows of a recording beyond which its windows are ranked range by range, and the estimated bytes of a log from which recordings are counted at all.
+HOT, COUNTED = 4_000_000, 1 << 30
+
+
+def is_large(df: DataFrame, group: str, *, hot: int = HOT, counted: int = COUNTED) -> bool:
+    """Whether some group has more rows than a task should rank: measured, unless the whole table is small."""
+    if int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < counted:
+        return False
+    return (df.groupBy(group).count().agg(F.max("count")).first()[0] or 0) > hot
+
+
+def time_ranges(df: DataFrame, time: Column, ranges: int = RANGES) -> DataFrame:
+    """Adds ``_t`` (the time) and ``_p``, its range between approximate quantiles; rows without a time are the last."""
+    rows = df.withColumn("_t", time)
+    found = rows.agg(F.percentile_approx("_t", F.array(*(F.lit((k + 1) / ranges) for k in range(ranges - 1))), F.lit(10_000))).first()[0] or []
+    cuts = sorted({x for x in found if x is not None})
+    place = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col("_t"))) if cuts else F.lit(0)
+    return rows.withColumn("_p", F.when(F.col("_t").isNull(), F.lit(len(cuts) + 1)).otherwise(place))
+
+
 def numbered_by_ranges(df: DataFrame, *, group: str, time: Column, seq: str, size: int = SIZE, ranges: int = RANGES) -> DataFrame:
     """:func:`numbered` by (time, seq) for groups too large for one task.
 
@@ -32,11 +52,7 @@ def numbered_by_ranges(df: DataFrame, *, group: str, time: Column, seq: str, siz
     row for each group and range, and no task holds more than a range of a group. The
     cuts decide where tasks split and nothing else.
     """
-    rows = df.withColumn("_t", time)
-    found = rows.agg(F.percentile_approx("_t", F.array(*(F.lit((k + 1) / ranges) for k in range(ranges - 1))), F.lit(10_000))).first()[0] or []
-    cuts = sorted({x for x in found if x is not None})
-    place = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col("_t"))) if cuts else F.lit(0)
-    rows = rows.withColumn("_p", F.when(F.col("_t").isNull(), F.lit(len(cuts) + 1)).otherwise(place))
+    rows = time_ranges(df, time, ranges)
     per = rows.groupBy(F.col(group).alias("_g"), F.col("_p").alias("_q")).agg(F.count("*").alias("_c"))
     by = Window.partitionBy("_g")
     before = F.coalesce(F.sum("_c").over(by.orderBy("_q").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -61,13 +77,14 @@ def sample_id(split: Column, group: Column, window: Column) -> Column:
     return F.concat(split, F.lit("-"), F.substring(F.sha2(group, 256), 1, 16), F.lit("-"), F.lpad(window.cast("string"), 6, "0"))
 
 
-def recording_windows(canonical: DataFrame, *, size: int = SIZE, least: int = LEAST, large: bool = False) -> DataFrame:
+def recording_windows(canonical: DataFrame, *, size: int = SIZE, least: int = LEAST, large: bool | None = None) -> DataFrame:
     """Canonical rows of all windows kept, with their ``sample_id``.
 
     One shuffle by recording serves ranking and all that follows. ``large`` is for logs in
-    which one recording is too much for a task: see :func:`numbered_by_ranges`.
+    which one recording is too much for a task (None: measured by :func:`is_large`): see
+    :func:`numbered_by_ranges`.
     """
-    if large:
+    if is_large(canonical, "split_group_id") if large is None else large:
         out = numbered_by_ranges(canonical, group="split_group_id", time=finite(F.col("request_timestamp")), seq="ingest_seq", size=size).where(F.col("window_tx_count") >= least)
     else:
         out = count_windows(canonical, group="split_group_id", order=recording_order(), size=size, least=least)

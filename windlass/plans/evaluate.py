@@ -29,4 +29,4 @@ def evaluate(scores: DataFrame, window_threshold: float, recording_threshold: fl
     """Everything about one scored split (``sample_id, split_group_id, label, score`` and strata) at frozen thresholds."""
     rows = metrics.predicted(scores, window_threshold)
     groups = metrics.predicted(metrics.recordings(scores), recording_threshold)
-    return Evaluation(metrics.binary_metrics(rows), metrics.binary_metrics(groups), metrics.stratified(rows, strata), metrics.error_summary(rows, strata), evaluation.cluster_bootstrap(rows))
+    return Evaluation(metrics.binary_metrics(rows), metrics.binary_metrics(groups), metrics.stratified(rows, strata), metrics.error_summary(rows, strata), evaluation.poisson_bootstrap(rows))
