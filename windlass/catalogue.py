@@ -531,6 +531,103 @@ def error_envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(drift.envelope(tab.where("split = 'train' AND traffic_label = 'benign'"), tab.where("split = 'test'"), _NAMES), 6)
 
 
+# --- whole rows of what other queries compare in part --------------------------------------------------------
+
+_X = lambda c: f"round(avg(x_{c}::FLOAT::DOUBLE), 2) + 0.0::DOUBLE AS mean_{c}"
+
+
+@query(f"WITH {_SEQ} SELECT sample_id, pos::INT AS pos, " + ", ".join(f"round(x_{c}::FLOAT::DOUBLE, 2) + 0.0::DOUBLE AS x_{c}" for c in scaling.CHANNELS) + " FROM sq")
+def seq_channels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All 15 scaled channels of every transaction in its window."""
+    rows = sequence_table(spark, sf_dir)
+    return rounded(rows.select("sample_id", "pos", *(F.col(f"x_{c}").cast("double").alias(f"x_{c}") for c in scaling.CHANNELS)), 2)
+
+
+@query(f"""WITH {_GRAPH}, means AS (SELECT sample_id, kind, key, {", ".join(_X(c) for c in graph.NODE_CHANNELS)} FROM long GROUP BY ALL), sizes AS (SELECT sample_id, count(*) AS size FROM gnode GROUP BY sample_id)
+SELECT g.sample_id, g.node_id, g.kind, g.key, {", ".join(f"(g.kind = '{k}')::INT::DOUBLE AS is_{k}" for k in graph.KINDS)}, round(g.activity_ratio, 4) AS activity_ratio, {", ".join(f"m.mean_{c}" for c in graph.NODE_CHANNELS)},
+  round(coalesce(d.degree, 0) / greatest(size - 1, 1)::DOUBLE, 4) AS degree_ratio, round(g.a_share, 4) AS a_share, round(g.tunnel_share, 4) AS tunnel_share
+FROM gnode g JOIN means m USING (sample_id, kind, key) JOIN sizes USING (sample_id) LEFT JOIN gdeg d USING (sample_id, kind, key)""")
+def node_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 13 features of every node."""
+    rows = sequence_table(spark, sf_dir)
+    n = graph.nodes(rows)
+    return rounded(graph.node_features(n, graph.edges(rows)).withColumns({f"mean_{c}": F.round(f"mean_{c}", 2) for c in graph.NODE_CHANNELS}))
+
+
+@query(f"""WITH {_GRAPH}, e0 AS (SELECT *, 0 AS type, 'client' AS src_kind, k0 AS src_key, 'server' AS dst_kind, k1 AS dst_key FROM ent UNION ALL SELECT *, 1, 'client', k0, 'base', k2 FROM ent UNION ALL SELECT *, 2, 'base', k2, 'subdomain', k3 FROM ent WHERE k3 IS NOT NULL)
+SELECT sample_id, type, src_kind, src_key, dst_kind, dst_key, {", ".join(_X(c) for c in graph.EDGE_CHANNELS)} FROM e0 GROUP BY ALL""")
+def edge_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both means of every edge."""
+    return rounded(graph.edges(sequence_table(spark, sf_dir)).drop("transactions", "interaction_ratio"), 2)
+
+
+@query(f"""WITH {EVENTS_SQL} SELECT split, split_group_id, traffic_label, query_type, count(*) AS n, round(sum(query_name_len), 2) AS name_len, round(avg(total_transaction_bytes), 4) AS bytes, min(ingest_seq) AS first_seq FROM canon GROUP BY ALL""")
+def canonical_checked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The canonical view through the vendor adapter, the checks and the projection."""
+    from .sources.canonical import canonical, require_rows
+
+    vendor = from_events(spark, sf_dir).withColumnRenamed("query_type", "vendor_type").withColumn("traffic_label", F.upper("traffic_label")).withColumn("extra", F.lit(1))
+    rows = require_rows(canonical(vendor, {"vendor_type": "query_type"}))
+    return rows.groupBy("split", "split_group_id", "traffic_label", "query_type").agg(F.count("*").alias("n"), F.round(F.sum("query_name_len"), 2).alias("name_len"), F.round(F.avg("total_transaction_bytes"), 4).alias("bytes"), F.min("ingest_seq").alias("first_seq"))
+
+
+@query(f"WITH {_W} SELECT sample_id, pos::INT AS pos, ingest_seq FROM w WHERE window_number = 1 AND split_group_id = (SELECT min(split_group_id) FROM w)")
+def window_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the second window of the first recording."""
+    w = windowed(spark, sf_dir)
+    return windows.one_window(w, w.agg(F.min("split_group_id")).first()[0], 1).select("sample_id", "pos", "ingest_seq")
+
+
+_DET_TAB = _DET + _FW[len(_W) :] + _TAB
+
+
+@query(f"""WITH {_DET_TAB} SELECT d.sample_id, CASE WHEN label = 0 THEN 'false_positive' ELSE 'false_negative' END AS error_type, {", ".join(f"round(t.{f}, 4) AS {f}" for f in _NAMES)} FROM det d JOIN tab t USING (sample_id) WHERE label <> prediction""")
+def errors_with_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Misclassified windows with raw features."""
+    return rounded(cascade.errors_with_features(detections(spark, sf_dir), tabular(spark, sf_dir)).select("sample_id", "error_type", *_NAMES))
+
+
+@query(f"""WITH {_DET_TAB} SELECT d.sample_id, {", ".join(f"round(t.{f}, 4) AS {f}" for f in _NAMES)} FROM det d JOIN tab t USING (sample_id) WHERE NOT (rf_prediction = if_prediction AND rf_prediction = bilstm_prediction AND rf_prediction = sage_prediction)""")
+def disagreements_with_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows on which the detectors differ, with features."""
+    rows = detections(spark, sf_dir).select("sample_id", *(f"{d}_prediction" for d in cascade.DETECTORS))
+    return rounded(cascade.disagreements_with_features(rows, tabular(spark, sf_dir)).select("sample_id", *_NAMES))
+
+
+@query("SELECT event_id, CASE event_type WHEN 'click' THEN 'A' WHEN 'view' THEN 'AAAA' ELSE 'other' END AS kind FROM events")
+def value_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select("event_id", cascade.mapped(F.col("event_type"), {"click": "A", "view": "AAAA"}, F.lit("other")).alias("kind"))
+
+
+@query("SELECT p_partkey::VARCHAR AS feature FROM part WHERE p_partkey % 97 / 1000.0::DOUBLE < 0.05 AND abs((p_partkey % 41 - 20) / 40.0::DOUBLE) >= 0.147")
+def feature_core(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rule for core features on made-up tests, one a part."""
+    key = F.col("p_partkey")
+    tests = table(spark, sf_dir, "part").select(key.cast("string").alias("feature"), (key % 97 / 1000.0).alias("holm_p"), ((key % 41 - 20) / 40.0).alias("delta"))
+    return drift.feature_core(tests)
+
+
+@query(f"WITH {_DET}, c AS (SELECT count(*) AS n, {_CONF.format(p='(score >= 0.6)::INT')} FROM det WHERE split = 'train') SELECT {_RATIOS} FROM c")
+def train_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(evaluation.train_fit(detections(spark, sf_dir), 0.6), 6)
+
+
+@query(f"WITH {_DET} SELECT count(*) AS n, round(max(abs(rf_score - if_score)), 6) AS max_score_difference, bool_and(rf_prediction = if_prediction) AS predictions_equal FROM det")
+def replay_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two scorings of the same samples."""
+    det = detections(spark, sf_dir)
+    one, two = (det.select("sample_id", F.col(f"{d}_score").alias("score"), F.col(f"{d}_prediction").alias("prediction")) for d in ("rf", "if"))
+    return rounded(evaluation.compare_scores(one, two), 6)
+
+
+@query(f"""WITH {_DET}, c AS (SELECT split, count(*) FILTER (label = 1 AND prediction = 1) / nullif(count(*) FILTER (label = 1), 0)::DOUBLE AS recall, count(*) FILTER (label = 0 AND prediction = 1) / nullif(count(*) FILTER (label = 0), 0)::DOUBLE AS fpr FROM det GROUP BY split)
+SELECT 'rf' AS model, {", ".join(f"round({f}({m}), 6) AS {m}_{k}" for m in ("recall", "fpr") for k, f in (("mean", "avg"), ("std", "stddev_samp"), ("min", "min"), ("max", "max")))} FROM c""")
+def seed_stability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spread of metrics over runs of one model (here the splits)."""
+    runs = metrics.binary_metrics(detections(spark, sf_dir), ["split"]).withColumn("model", F.lit("rf"))
+    return rounded(evaluation.seed_stability(runs, ["recall", "fpr"]), 6)
+
+
 # --- checks --------------------------------------------------------------------------------------------------
 
 
