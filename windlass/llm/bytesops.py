@@ -8,7 +8,7 @@ its hashes are computed slice by slice.
 from __future__ import annotations
 
 import ctypes
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -120,8 +120,14 @@ def tokens(values: list[bytes], table: np.ndarray = SPACE_TABLE) -> tuple[bytes,
     return buf, start, end, np.searchsorted(start, firsts)
 
 
-def release() -> None:
-    """Give freed memory back at a task's end: workers live on, and wait for other tasks."""
+#: What workers keep from task to task, by how to forget it.
+KEPT: list[Callable[[], None]] = []
+
+
+def release(keep: bool = False) -> None:
+    """Give freed memory back at a task's end: workers live on, and wait for other tasks, of which most need nothing that is kept."""
+    for forget in [] if keep else KEPT:
+        forget()
     pa.default_memory_pool().release_unused()
     if _TRIM is not None:
         _TRIM(0)

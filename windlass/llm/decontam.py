@@ -24,7 +24,7 @@ from .scratch import Scratch
 #: Benchmark text that a task holds at once; a larger benchmark is worked off block by block.
 BLOCK_BYTES = 16 << 20
 #: Text of a shard; a longer document is a shard of its own.
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 4 << 20
 _LOWER = bytes(range(0x41)) + bytes(range(0x61, 0x7B)) + bytes(range(0x5B, 256))
 _WORD = np.zeros(256, np.uint8)
 _WORD[0x30:0x3A] = _WORD[0x61:0x7B] = _WORD[0x80:0x100] = 1
@@ -266,7 +266,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, window: int = 10, bl
     ``items`` (ids as text, sorted), ``longest`` and ``longest_at`` (words of
     the longest run shared with one item, and its first word; 0 where there is none).
 
-    Each shard (about 8 MB of text) gets a suffix array over all its words, ordered to the
+    Each shard (about 4 MB of text) gets a suffix array over all its words, ordered to the
     length of the longest item. Every suffix of every item is found in it by binary search
     with its longest verbatim match; where that is a window or more, all places of the
     window are. Documents are scanned once and are not shuffled; memory is bounded by a

@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bytesops import batches, release, texts
+from .bytesops import KEPT, batches, release, texts
 from .scratch import Scratch
 
 #: Words that a worker keeps with their ids before it starts anew, and the bytes above which a word is not kept.
@@ -189,6 +189,9 @@ def encoder(path: str, dtype: str) -> Encoder:
     return Encoder(path, dtype)
 
 
+KEPT.append(encoder.cache_clear)
+
+
 def _writer(folder: str, path: str, end: int, dtype: str) -> Callable:
     def write(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, width, tail = encoder(path, dtype), np.dtype(dtype).itemsize, np.array([end], dtype).tobytes()
@@ -204,7 +207,7 @@ def _writer(folder: str, path: str, end: int, dtype: str) -> Callable:
                 for x in data:
                     ids.write(x)
                 n, docs = int(ends[-1]), docs + len(data)
-        release()
+        release(keep=True)
         yield pa.RecordBatch.from_pydict({"shard": pa.array([TaskContext.get().partitionId()], pa.int32()), "name": [name], "docs": pa.array([docs], pa.int64()), "ids": pa.array([n], pa.int64())})
 
     return write
