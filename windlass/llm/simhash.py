@@ -93,7 +93,8 @@ def links(distinct: DataFrame, scratch: Scratch) -> DataFrame:
     least of them connects them all. No link is lost either way, and the work is linear
     in the number of distinct fingerprints.
     """
-    cells = distinct.select("fp", F.explode(_around(_cell(F.col("fp")))).alias("cell"))
+    spread = distinct.select("fp").repartition(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")))  # a few files hold many fingerprints
+    cells = spread.select("fp", F.explode(_around(_cell(F.col("fp")))).alias("cell"))
     shared = scratch.cut(cells.groupBy("cell").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).where("n > 1"), "shared")
     close = lambda x, y: F.bit_count(x.bitwiseXOR(y)) <= 2
     two = shared.where((F.col("n") == 2) & close(F.col("a"), F.col("b"))).select("a", "b")
