@@ -131,6 +131,27 @@ def test_extraction_goes_by_more_than_names():
         assert dom.main_text(hidden, ex.kept([hidden])[0]) == dom.main_text(plain, ex.kept([plain])[0])
 
 
+def test_leaves_grow_with_the_table(spark):
+    """Recall at two sizes where parts are cut again, and how few rows are compared."""
+    rng = np.random.default_rng(7)
+    centres = rng.normal(size=(200, 16)) * 3
+    for n in (3000, 9000):
+        x = (centres[rng.integers(0, 200, n)] + 0.5 * rng.normal(size=(n, 16))).astype(np.float32)
+        df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+        got = {}
+        for r in neighbours.nearest(df, F.col("vec_id") % 20 == 0, k=20, parts=8, leaf=300).collect():
+            got.setdefault(r.query_id, set()).add(r.vec_id)
+        scores = x[::20].astype(float) @ x.T.astype(float)
+        scores[np.arange(len(scores)), np.arange(0, n, 20)] = -np.inf
+        true = np.argsort(-scores, axis=1)[:, :20]
+        assert np.mean([len(got[20 * q] & set(t.tolist())) / 20 for q, t in enumerate(true)]) > 0.9
+    top = neighbours.fit_router(x[:2000].astype(float), parts=8)
+    tree = neighbours.Tree(top, {2: neighbours.fit_router(x[:600].astype(float), parts=5)})
+    assert tree.leaves == 12 and np.allclose(tree(x[:50].astype(float)).sum(1), 1)
+    home = tree.home(x[:50].astype(float))
+    assert all((2 <= h < 7) == (p == 2) for h, p in zip(home, tree.part(x[:50].astype(float)), strict=True))
+
+
 def test_licenses(spark):
     rng = random.Random(2)
     mit = licenses.TEMPLATES["mit"].split()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -10,13 +11,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .bytesops import batches
 from .sampling import hash_sample
 from .scratch import Scratch
 
 #: Numbers that the sample on the driver may hold, and its rows.
 SAMPLE_NUMBERS, SAMPLE_ROWS = 1 << 22, 8192
-#: Partitions, and the least sample rows for each.
-PARTS, LEAST = 32, 64
+#: Partitions, the least sample rows for each, and the rows beyond which one is cut again.
+PARTS, LEAST, LEAF = 32, 64, 1 << 16
 #: Rows of a partition that a task holds, queries that it compares with them, and queries scored at once.
 SLICE, QUERIES, SCORED = 32_768, 32_768, 128
 GRAPH, HIDDEN, EPOCHS = 10, 96, 30
@@ -106,27 +108,64 @@ def train_router(x: np.ndarray, target: np.ndarray, rng: np.random.Generator) ->
     return Router(*p)
 
 
-def fit_router(x: np.ndarray, *, parts: int, k: int, recall: float, seed: int = 3) -> tuple[Router | None, int]:
-    """The router, and the number of parts to search for the recall wanted of held-out queries within the sample."""
+def fit_router(x: np.ndarray, *, parts: int, seed: int = 3) -> Router | None:
+    """The exact neighbour graph of x is cut into balanced parts, and a classifier learns where a vector's neighbours lie; None for too few rows."""
     m = min(parts, len(x) // LEAST)
     if m < 2:
-        return None, 1
+        return None
     rng = np.random.default_rng(seed)
-    held = min(len(x) // 8, 512)
-    queries, base = x[:held], x[held:]
     scale = np.linalg.norm(x, axis=1).mean()
-    graph = _top(base, base, min(GRAPH, len(base) - 1), np.arange(len(base)))
-    part = balanced_parts(graph, base / scale, m, rng)
-    target = np.zeros((len(base), m))
-    np.add.at(target, (np.repeat(np.arange(len(base)), graph.shape[1]), part[graph].ravel()), 0.7 / graph.shape[1])
-    target[np.arange(len(base)), part] += 0.3
-    router = train_router(base / scale, target, rng)
+    graph = _top(x, x, min(GRAPH, len(x) - 1), np.arange(len(x)))
+    part = balanced_parts(graph, x / scale, m, rng)
+    target = np.zeros((len(x), m))
+    np.add.at(target, (np.repeat(np.arange(len(x)), graph.shape[1]), part[graph].ravel()), 0.7 / graph.shape[1])
+    target[np.arange(len(x)), part] += 0.3
+    router = train_router(x / scale, target, rng)
     router.w1 = router.w1 / scale
-    home = router(base).argmax(1)
-    rank = np.argsort(np.argsort(-router(queries), axis=1, kind="stable"), axis=1)
-    true = _top(base, queries, min(k, len(base)))
-    reached = np.sort(np.take_along_axis(rank, home[true], 1).ravel())
-    return router, min(m, int(reached[min(len(reached) - 1, int(np.ceil(recall * len(reached))) - 1)]) + 1)
+    return router
+
+
+@dataclass
+class Tree:
+    """A router, and routers of its large parts; leaves are numbered part by part."""
+
+    top: Router | None
+    below: dict[int, Router]
+
+    def __post_init__(self) -> None:
+        self.parts = len(self.top.b2) if self.top else 1
+        sizes = [len(self.below[p].b2) if p in self.below else 1 for p in range(self.parts)]
+        self.first = np.concatenate(([0], np.cumsum(sizes)))
+        self.leaves = int(self.first[-1])
+
+    def __call__(self, x: np.ndarray) -> np.ndarray:
+        """Probabilities of the leaves: those of the parts times those within them."""
+        top = self.top(x) if self.top else np.ones((len(x), 1))
+        return np.concatenate([top[:, p : p + 1] * (self.below[p](x) if p in self.below else 1) for p in range(self.parts)], 1)
+
+    def part(self, x: np.ndarray) -> np.ndarray:
+        return self.top(x).argmax(1) if self.top else np.zeros(len(x), np.int64)
+
+    def home(self, x: np.ndarray) -> np.ndarray:
+        part = self.part(x)
+        out = self.first[part]
+        for p in np.unique(part):
+            if p in self.below:
+                mine = part == p
+                out[mine] += self.below[p](x[mine]).argmax(1)
+        return out
+
+
+def leaves_for(tree: Tree, base: np.ndarray, queries: np.ndarray, k: int, recall: float) -> int:
+    """How many of its most probable leaves a query must search for the recall wanted of queries that fitted nothing."""
+    if tree.leaves == 1 or not len(queries):
+        return tree.leaves
+    home, true, reached = tree.home(base), _top(base, queries, min(k, len(base))), []
+    for lo in range(0, len(queries), 64):
+        rank = np.argsort(np.argsort(-tree(queries[lo : lo + 64]), axis=1, kind="stable"), axis=1)
+        reached.append(np.take_along_axis(rank, home[true[lo : lo + 64]], 1).ravel())
+    reached = np.sort(np.concatenate(reached))
+    return min(tree.leaves, int(reached[min(len(reached) - 1, int(np.ceil(recall * len(reached))) - 1)]) + 1)
 
 
 def _usable(v: Column, dim: int) -> Column:
@@ -139,37 +178,40 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
 
 
-def _homes(router, dim: int) -> Callable:
+def _homes(tree, dim: int, whole: bool) -> Callable:
     def assign(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             if b.num_rows:
-                part = router.value(_matrix(b["v"], dim)).argmax(1) if router else np.zeros(b.num_rows, int)
-                yield pa.RecordBatch.from_arrays([b["vec_id"], b["v"], pa.array(part.astype(np.int32))], ["vec_id", "v", "part"])
+                x = _matrix(b["v"], dim)
+                at = tree.value.home(x) if whole else tree.value.part(x)
+                yield pa.RecordBatch.from_arrays([b["vec_id"], b["v"], pa.array(at.astype(np.int32))], ["vec_id", "v", "part"])
 
     return assign
 
 
-def _routes(router, dim: int, probes: int, k: int, slices: list[int], sizes: list[int]) -> Callable:
-    """Each query goes to its most probable parts, and on until they hold more than k rows."""
+def _fit_below(dim: int, parts: int) -> Callable:
+    """A router for one part from its sample."""
+
+    def fit(group: pa.Table) -> pa.Table:
+        part = group["part"][0].as_py()
+        router = fit_router(_matrix(group.sort_by([("vec_id", "ascending")])["v"], dim), parts=parts, seed=3 + part)
+        return pa.Table.from_pydict({"part": pa.array([part], pa.int32()), "router": pa.array([pickle.dumps(router)], pa.binary())})
+
+    return fit
+
+
+def _routes(tree, dim: int, probes: int, k: int, sizes: list[int]) -> Callable:
+    """Each query goes to its most probable leaves, and on until they hold more than k rows."""
 
     def route(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        size, cut = np.array(sizes), np.array(slices)
-        for b in it:
-            if not b.num_rows:
-                continue
-            x = _matrix(b["v"], dim)
-            order = np.argsort(-router.value(x), axis=1, kind="stable") if router else np.zeros((len(x), 1), int)
-            held = np.cumsum(size[order], 1)
-            want = np.maximum(probes, (held <= k).sum(1) + 1)
-            row, part, piece = [], [], []
-            for i in range(len(x)):
-                for p in order[i, : want[i]]:
-                    row += [i] * cut[p]
-                    part += [p] * cut[p]
-                    piece += range(cut[p])
-            row = pa.array(row, pa.int64())
-            columns = [*(b[c].take(row) for c in ("vec_id", "v", "key")), pa.array(part, pa.int32()), pa.array(piece, pa.int32()), b["block"].take(row)]
-            yield pa.RecordBatch.from_arrays(columns, ["vec_id", "v", "key", "part", "piece", "block"])
+        size = np.array(sizes)
+        for whole in it:
+            for b in batches([whole], 256):
+                order = np.argsort(-tree.value(_matrix(b["v"], dim)), axis=1, kind="stable")
+                want = np.maximum(probes, (np.cumsum(size[order], 1) <= k).sum(1) + 1)
+                row = np.repeat(np.arange(b.num_rows), np.minimum(want, order.shape[1]))
+                part = np.concatenate([o[:n] for o, n in zip(order, want, strict=True)])
+                yield pa.RecordBatch.from_arrays([*(b[c].take(pa.array(row)) for c in ("vec_id", "v", "key")), pa.array(part.astype(np.int32))], ["vec_id", "v", "key", "part"])
 
     return route
 
@@ -197,16 +239,20 @@ def _rerank(dim: int, k: int) -> Callable:
     return rank
 
 
-def nearest(vectors: DataFrame, queries: Column, *, k: int = 20, parts: int = PARTS, recall: float = 0.97) -> DataFrame:
+def nearest(vectors: DataFrame, queries: Column, *, k: int = 20, parts: int = PARTS, recall: float = 0.97, leaf: int = LEAF) -> DataFrame:
     """``query_id, rank, vec_id, score``: the k rows of largest inner product found for each query row.
 
     ``queries`` is a condition on ``vec_id``. A bounded sample (chosen by hash) fits the
     index: its exact neighbour graph is cut into balanced parts, and a small classifier
-    learns where a vector's neighbours lie. Every row goes to its most probable part; a
-    query goes to as many of its most probable parts as reach the recall wanted for
-    held-out queries within the sample. There all rows are compared, in slices of a
-    part (so that a part with many rows, or many equal vectors, fills no task), and the
-    best k are rescored exactly in double precision, component by component.
+    learns where a vector's neighbours lie. Every row goes to its most probable part. A part
+    of more than ``leaf`` rows is cut again in the same way, by a sample of its own rows in
+    a task of its own; so leaves grow in number with the table and not in size, up to
+    ``parts`` x ``parts`` of them, whose routers are broadcast. A query goes to as many of
+    its most probable leaves as reach the recall wanted for held-out queries within the
+    sample. There all rows are compared, in slices of a leaf (so that a leaf with many rows,
+    or many equal vectors, fills no task), with the leaf's queries in blocks; rows are sent
+    once for each block of their own leaf. The best k are rescored exactly in double
+    precision, component by component.
 
     Vectors that are null, zero, not of the most frequent length, or hold null or
     non-finite components take no part. A row is no candidate for queries of its own
@@ -220,20 +266,37 @@ def nearest(vectors: DataFrame, queries: Column, *, k: int = 20, parts: int = PA
     lengths = rows.where("v IS NOT NULL").groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
     dim = max(1, lengths[0].n if lengths else 1)
     rows = rows.where(_usable(F.col("v"), dim))
-    sample = hash_sample(rows, F.col("vec_id"), max(LEAST, min(SAMPLE_ROWS, SAMPLE_NUMBERS // dim))).toArrow()
-    router, probes = fit_router(_matrix(sample["v"], dim), parts=parts, k=k, recall=recall) if sample.num_rows else (None, 1)
-    shared = spark.sparkContext.broadcast(router) if router else None
-    homes = scratch.cut(rows.mapInArrow(_homes(shared, dim), "vec_id long, v array<double>, part int"), "homes")
+    most = max(LEAST, min(SAMPLE_ROWS, SAMPLE_NUMBERS // dim))
+    sample = hash_sample(rows, F.col("vec_id"), most).toArrow()
+    x = _matrix(sample["v"], dim) if sample.num_rows else np.empty((0, dim))
+    held, base = x[: min(len(x) // 8, 512)], x[min(len(x) // 8, 512) :]
+    tree = Tree(fit_router(base, parts=parts), {})
+    shared, schema = spark.sparkContext.broadcast(tree), "vec_id long, v array<double>, part int"
+    homes = scratch.cut(rows.mapInArrow(_homes(shared, dim, False), schema), "homes")
     counted = {r.part: r["count"] for r in homes.groupBy("part").count().collect()}
-    m = len(router.b2) if router else 1
-    sizes = [counted.get(p, 0) for p in range(m)]
-    slices = [max(1, -(-n // SLICE)) for n in sizes]
-    distinct = scratch.cut(homes.where(queries).select("vec_id", "v", F.xxhash64("v").alias("key")).dropDuplicates(["vec_id", "v"]), "queries")
-    blocks = max(1, -(-distinct.count() // QUERIES))
-    distinct = distinct.withColumn("block", F.pmod(F.xxhash64("key", "vec_id"), F.lit(blocks)).cast("int"))
-    asked = distinct.mapInArrow(_routes(shared, dim, probes, k, slices, sizes), "vec_id long, v array<double>, key long, part int, piece int, block int")
-    piece = F.pmod(F.xxhash64("vec_id", "v"), F.element_at(F.array(*map(F.lit, slices)), F.col("part") + 1)).cast("int")
-    candidates = homes.withColumn("piece", piece).withColumn("block", F.explode(F.array(*map(F.lit, range(blocks)))))
+    if large := {p: n for p, n in counted.items() if n > leaf}:
+        share = F.element_at(F.create_map(*(F.lit(y) for p, n in large.items() for y in (p, min(1.0, 2 * most / n)))), F.col("part"))
+        hashed = homes.where(F.col("part").isin(list(large))).withColumn("_h", F.shiftrightunsigned(F.xxhash64("vec_id", "v"), 11) / float(1 << 53))
+        first = F.row_number().over(Window.partitionBy("part").orderBy("_h", "vec_id"))
+        some = hashed.where(F.col("_h") < share).withColumn("_r", first).where(F.col("_r") <= most).select("vec_id", "v", "part")
+        fitted = some.groupBy("part").applyInArrow(_fit_below(dim, parts), "part int, router binary").collect()
+        below = {r.part: router for r in fitted if (router := pickle.loads(r.router)) is not None}
+        tree = Tree(tree.top, below)
+        shared = spark.sparkContext.broadcast(tree)
+        homes = scratch.cut(homes.select("vec_id", "v").mapInArrow(_homes(shared, dim, True), schema), "leaves")
+        scratch.drop("homes")
+        counted = {r.part: r["count"] for r in homes.groupBy("part").count().collect()}
+    probes = leaves_for(tree, base, held, k, recall)
+    sizes = [counted.get(p, 0) for p in range(tree.leaves)]
+    distinct = homes.where(queries).select("vec_id", "v", F.xxhash64("v").alias("key")).dropDuplicates(["vec_id", "v"])
+    asked = scratch.cut(distinct.mapInArrow(_routes(shared, dim, probes, k, sizes), "vec_id long, v array<double>, key long, part int"), "asked")
+    cuts = {r.part: (max(1, -(-sizes[r.part] // SLICE)), -(-r["count"] // QUERIES)) for r in asked.groupBy("part").count().collect()}
+    if not cuts:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    slices, blocks = (F.element_at(F.create_map(*(F.lit(y) for p, c in cuts.items() for y in (p, c[i]))), F.col("part")) for i in (0, 1))
+    dealt = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    asked = asked.withColumn("block", F.pmod(F.xxhash64("key", "vec_id"), blocks).cast("int")).withColumn("piece", dealt(slices))
+    candidates = homes.where(F.col("part").isin(list(cuts))).withColumn("piece", F.pmod(F.xxhash64("vec_id", "v"), slices).cast("int")).withColumn("block", dealt(blocks))
     keys = ["part", "piece", "block"]
     found = asked.groupBy(*keys).cogroup(candidates.groupBy(*keys)).applyInArrow(_rerank(dim, k), "query_id long, key long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id", "key").orderBy(F.desc("score"), "vec_id"))
