@@ -26,7 +26,9 @@ from .exchange import SCHEMA, array, bundle, pack, pack_steps, rows, squeeze, un
 from .scratch import Scratch
 
 #: Tokens of a block; bigrams that the blocks send to a shard; words that they send to a part of the vocabulary.
-BLOCK, SHARD, PART = 1 << 20, 1_000_000, 1_000_000
+BLOCK, SHARD, PART = 1 << 19, 750_000, 750_000
+#: Bytes of messages after which a worker gives its memory back.
+LARGE = 1 << 21
 #: A context with more tokens is dealt to several shards by the next word.
 SPLIT = 1 << 20
 _END = np.uint64(0x5851F42D4C957F2D)
@@ -529,7 +531,13 @@ def score_documents(docs: DataFrame, settings: Settings = Settings(), *, split:
     session = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def grouped(df: DataFrame, groups: int, f: Callable, schema: str = SCHEMA) -> DataFrame:
-        return df.repartition(min(groups, max(session, 4096)), "dest").groupBy("dest").applyInArrow(f, schema)
+        def run(group: pa.Table) -> pa.Table:
+            out = f(group)
+            if len(group) > 1 and group.nbytes > LARGE:
+                release()
+            return out
+
+        return df.repartition(min(groups, max(session, 4096)), "dest").groupBy("dest").applyInArrow(run, schema)
 
     def of(df: DataFrame, *kinds: int) -> DataFrame:
         return df.where(F.col("kind").isin(*kinds))
