@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bytesops import batches, decode_gaps, encode_gaps, mix, packs, span_hashes, texts, tokens, window_hashes
+from .bytesops import batches, decode_gaps, encode_gaps, mix, packs, release, span_hashes, texts, tokens, window_hashes
 from .exchange import SCHEMA, array, expand, rows, squeeze, table
 from .scratch import Scratch
 
@@ -113,6 +113,17 @@ def _shard(h: np.ndarray, shards: int) -> np.ndarray:
     return ((h >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
 
 
+def _thrifty(f: Callable) -> Callable:
+    """The same function of a group, after which the worker gives its memory back."""
+
+    def run(group: pa.Table) -> pa.Table:
+        out = f(group)
+        release()
+        return out
+
+    return run
+
+
 def _send_cells(window: int, log2_width: int) -> Callable:
     def send(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
@@ -221,9 +232,9 @@ def remove_repeats(docs: DataFrame, *, window: int = 35, cells: int = CELLS, wit
     shards = max(8, -(-words // (8 * SHARD)))
     n = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
     asked = units.mapInArrow(_send_cells(window, log2_width), SCHEMA).repartition(n, "dest")
-    estimates = scratch.cut(asked.groupBy("dest").applyInArrow(_count_cells, SCHEMA), "estimates")
-    keys = units.unionByName(estimates).groupBy("dest").applyInArrow(_send_keys(window, log2_width, shards), SCHEMA)
-    exact = scratch.cut(keys.groupBy("dest").applyInArrow(_count_keys, SCHEMA), "exact")
+    estimates = scratch.cut(asked.groupBy("dest").applyInArrow(_thrifty(_count_cells), SCHEMA), "estimates")
+    keys = units.unionByName(estimates).groupBy("dest").applyInArrow(_thrifty(_send_keys(window, log2_width, shards)), SCHEMA)
+    exact = scratch.cut(keys.groupBy("dest").applyInArrow(_thrifty(_count_keys), SCHEMA), "exact")
     everything = units.unionByName(estimates).unionByName(exact)
-    out = everything.groupBy("dest").applyInArrow(_remove(window, log2_width, shards, with_text), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
+    out = everything.groupBy("dest").applyInArrow(_thrifty(_remove(window, log2_width, shards, with_text)), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
     return out if with_text else scratch.cut(out, "out")
