@@ -274,11 +274,11 @@ def graph_degree(spark: SparkSession, sf_dir: str) -> DataFrame:
 ids AS (SELECT sample_id, kind, key, node_id, activity_ratio, a_share FROM gnode),
 el AS (SELECT e.sample_id, s.node_id AS src, d.node_id AS dst FROM gedge e JOIN ids s ON e.sample_id = s.sample_id AND e.src_kind = s.kind AND e.src_key = s.key JOIN ids d ON e.sample_id = d.sample_id AND e.dst_kind = d.kind AND e.dst_key = d.key),
 both_ AS (SELECT * FROM el UNION ALL SELECT sample_id, dst, src FROM el)
-SELECT b.sample_id, b.dst AS node_id, round(avg(activity_ratio), 4) AS activity_ratio, round(avg(a_share), 4) AS a_share FROM both_ b JOIN ids s ON b.sample_id = s.sample_id AND b.src = s.node_id GROUP BY b.sample_id, b.dst""")
+SELECT b.sample_id, b.dst AS node_id, round(avg(activity_ratio), 9) AS activity_ratio, round(avg(a_share), 9) AS a_share FROM both_ b JOIN ids s ON b.sample_id = s.sample_id AND b.src = s.node_id GROUP BY b.sample_id, b.dst""")
 def sage_mean_aggregate(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = sequence_table(spark, sf_dir)
     n, e = graph.nodes(rows), graph.edges(rows)
-    return rounded(graph.mean_neighbours(graph.edge_list(n, e), n, ["activity_ratio", "a_share"]))
+    return rounded(graph.mean_neighbours(graph.edge_list(n, e), n, ["activity_ratio", "a_share"]), 9)  # at 4 digits many means lie halfway, and the order of summation shows
 
 
 @query(f"WITH {_GRAPH} SELECT sample_id, round(avg(activity_ratio), 4) AS mean_activity_ratio, round(max(activity_ratio), 4) AS max_activity_ratio FROM gnode GROUP BY sample_id")
