@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import json
 import os
 import re
@@ -80,7 +81,8 @@ def check_tokenizer(path: str) -> None:
         good = good and splitters[0]["type"] in _PLAIN_SPLITTERS
     good = good and not any(t["lstrip"] or t["rstrip"] or any(c.isspace() for c in t["content"]) for t in made.get("added_tokens", []))
     if good:
-        ids = lambda x: Tokenizer.from_file(path).encode(x, add_special_tokens=False).ids
+        tokenizer = Tokenizer.from_file(path)
+        ids = lambda x: tokenizer.encode(x, add_special_tokens=False).ids
         good = all(ids(x) == [i for w in x.split() for i in ids(w)] for x in _PROBES)
     if not good:
         raise ValueError(f"{path}: this tokenizer may join words across white space, so texts can't be encoded word by word")
@@ -162,6 +164,16 @@ class Encoder:
         fresh |= pieces
 
     def __call__(self, values: list[bytes]) -> list[bytes]:
+        """Ids of each text; no cycles arise, so the collector, which would walk all words again and again, rests meanwhile."""
+        on = gc.isenabled()
+        gc.disable()
+        try:
+            return self._texts(values)
+        finally:
+            if on:
+                gc.enable()
+
+    def _texts(self, values: list[bytes]) -> list[bytes]:
         split = [v.split() for v in values]
         if len(self.known) > CACHE:
             self.known = {w: ids for w in set().union(*split) if (ids := self.known.get(w)) is not None}
