@@ -80,3 +80,49 @@ def test_forests(spark):
     assert metrics.auroc(scored).first().auroc > 0.95
     assert 0 < scored.agg(F.min("score")).first()[0] <= scored.agg(F.max("score")).first()[0] < 1
     assert Var(np.ones(2)).grad is None
+
+
+def test_networks_choose_windows_before_gathering_them(spark, monkeypatch):
+    """The driver gets the chosen windows, not every task's first ones; and of each the right graph, label and weight."""
+    import hashlib
+
+    from windlass import catalogue
+    from windlass.models import networks
+
+    n = 12_000
+    key = spark.range(0, n, 1, 48).select(F.concat(F.lit("w"), F.col("id").cast("string")).alias("sample_id"), "id")
+    node = F.transform(F.sequence(F.lit(0), F.lit(39)), lambda k: F.struct(k.alias("node_id"), F.transform(F.sequence(F.lit(0), F.lit(12)), lambda c: (F.col("id") + c / 16).cast("float")).alias("x")))
+    edge = F.when(F.col("id") % 5 != 0, F.array(F.struct(F.lit(0).alias("src"), F.lit(39).alias("dst")), F.struct(F.lit(39).alias("src"), F.lit(0).alias("dst"))))
+    rows = key.select("sample_id", node.alias("nodes"), edge.alias("edges"))
+    labels = key.select("sample_id", F.when(F.col("id") % 3 == 0, "validation").otherwise("train").alias("split"), (F.col("id") % 7).cast("string").alias("split_group_id"), (F.col("id") % 7 % 2).cast("int").alias("label"))
+    monkeypatch.setattr(catalogue, "_labels", lambda spark, sf_dir: labels)
+    seen = []
+    monkeypatch.setattr(networks, "train", lambda net, *given, **settings: seen.extend(given))
+    conf = spark.sparkContext._jsc.sc().conf()
+    conf.set("spark.driver.maxResultSize", "16m")
+    try:
+        scored = catalogue._trained(GraphSAGE(hidden=2, layers=1), Graphs, rows, spark, "", epochs=1)
+    finally:
+        conf.remove("spark.driver.maxResultSize")
+    data, y, weight, check, check_y = seen
+    order = sorted(range(n), key=lambda k: hashlib.sha256(f"w{k}".encode()).hexdigest())
+    for got, label, chosen in ((data, y, [k for k in order if k % 3][:2000]), (check, check_y, [k for k in order if k % 3 == 0][:1000])):
+        assert len(got) == len(chosen) and got.x[::40, 0].tolist() == chosen and label.tolist() == [k % 7 % 2 for k in chosen]
+        assert got.member.tolist() == np.repeat(np.arange(len(chosen)), 40).tolist()
+        ends = [(40 * i + a, 40 * i + 39 - a) for i, k in enumerate(chosen) if k % 5 for a in (0, 39)]
+        assert list(zip(got.src.tolist(), got.dst.tolist())) == ends
+    assert weight.sum() == pytest.approx(2)
+    assert "MapInPandas" not in scored._jdf.queryExecution().toString()  # whole Arrow batches as Python objects fill an executor
+    assert scored.count() == n
+    spark.catalog.clearCache()
+
+
+def test_joined_batches_are_one():
+    rng = np.random.default_rng(2)
+    some = [(rng.normal(size=(k, 13)), np.array([(0, k - 1)] * (k > 1), int).reshape(-1, 2)) for k in (3, 1, 4, 2, 2)]
+    one, two = Graphs.union(some), Graphs.joined([Graphs.union(some[:2]), Graphs.union(some[2:])])
+    assert one.n == two.n and all((getattr(one, c) == getattr(two, c)).all() for c in ("x", "src", "dst", "member"))
+    long, short = sequences(rng, [6, 3], steps=6), sequences(rng, [2], steps=2)
+    net, both = BiLSTM(hidden=3), Sequences.joined([long, short])
+    assert both.x.shape == (3, 6, 15) and both.length.tolist() == [6, 3, 2]
+    assert probabilities(net, both) == pytest.approx(np.concatenate([probabilities(net, long), probabilities(net, short)]), abs=1e-12)

@@ -710,12 +710,14 @@ def _trained(net, data, rows: DataFrame, spark: SparkSession, sf_dir: str, epoch
     from .models import networks
 
     rows = rows.persist()  # a row a window; read for training, for choosing the epoch and for scoring
-    labelled = rows.join(_labels(spark, sf_dir), "sample_id")
-    some = lambda split, n: labelled.where(F.col("split") == split).orderBy(F.sha2("sample_id", 256)).limit(n).toPandas()
-    fit, check = some("train", 2000), some("validation", 1000)
+    labels = _labels(spark, sf_dir).withColumn("_h", F.sha2("sample_id", 256)).persist()
+    # windows are chosen by their labels alone: ordering whole windows would send each task's first n of them to the driver
+    some = lambda split, n: networks.gathered(data, rows.join(F.broadcast(labels.where(F.col("split") == split).orderBy("_h").limit(n)), "sample_id"), "_h")
+    (fit_data, fit), (check_data, check) = some("train", 2000), some("validation", 1000)
+    labels.unpersist()
     counts = fit.groupby(["label", "split_group_id"])["sample_id"].transform("count")
     weight = 1 / (counts * fit.groupby("label")["split_group_id"].transform("nunique"))
-    networks.train(net, data.of(fit), fit["label"].to_numpy(), weight.to_numpy(), data.of(check), check["label"].to_numpy(), epochs=epochs)
+    networks.train(net, fit_data, fit["label"].to_numpy(), weight.to_numpy(), check_data, check["label"].to_numpy(), epochs=epochs)
     return networks.score_network(net, rows)
 
 
