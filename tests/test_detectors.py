@@ -126,3 +126,65 @@ def test_joined_batches_are_one():
     net, both = BiLSTM(hidden=3), Sequences.joined([long, short])
     assert both.x.shape == (3, 6, 15) and both.length.tolist() == [6, 3, 2]
     assert probabilities(net, both) == pytest.approx(np.concatenate([probabilities(net, long), probabilities(net, short)]), abs=1e-12)
+
+
+def test_sage_score_trains_on_every_window_of_the_train_split(spark, monkeypatch):
+    """Each train window takes part once in every epoch with its label and weight, and every validation one chooses the epoch."""
+    from windlass import catalogue
+    from windlass.models import networks
+
+    n = 4_500
+    key = spark.range(0, n, 1, 8).select(F.concat(F.lit("w"), F.col("id").cast("string")).alias("sample_id"), "id")
+    node = F.transform(F.sequence(F.lit(0), F.col("id") % 3), lambda k: F.struct(k.alias("node_id"), F.transform(F.sequence(F.lit(0), F.lit(12)), lambda c: (F.col("id") + c / 16).cast("float")).alias("x")))
+    edge = F.when(F.col("id") % 3 == 2, F.array(F.struct(F.lit(0).alias("src"), F.lit(2).alias("dst"))))
+    split = F.when(F.col("id") % 9 < 3, "validation").otherwise("train")
+    label = F.when(F.col("id") == 8, F.lit(None)).otherwise((F.col("id") % 7 % 2).cast("int"))
+    labels = key.select("sample_id", split.alias("split"), (F.col("id") % 7).cast("string").alias("split_group_id"), label.alias("label"))
+    monkeypatch.setattr(catalogue, "sequence_table", lambda spark, sf_dir: None)
+    for name in ("nodes", "edges", "node_features", "edge_list"):
+        monkeypatch.setattr(catalogue.graph, name, lambda *a: None)
+    monkeypatch.setattr(catalogue.graph, "graphs", lambda *a: key.select("sample_id", node.alias("nodes"), edge.alias("edges")))
+    monkeypatch.setattr(catalogue, "_labels", lambda spark, sf_dir: labels)
+    fit, used, compared, checked = [], [], [], []
+    forward, loss, precision = GraphSAGE.__call__, networks.logit_loss, metrics.average_precision
+    monkeypatch.setattr(GraphSAGE, "__call__", lambda net, g, rng=None: (fit.append(g) if rng is not None else compared.append(g)) or forward(net, g, rng))
+    monkeypatch.setattr(networks, "logit_loss", lambda logit, y, w: used.append((y, w)) or loss(logit, y, w))
+    monkeypatch.setattr(metrics, "average_precision", lambda df: checked.append(df.count()) or precision(df))
+    scored = catalogue.sage_score(spark, "")
+    train = [k for k in range(n) if k % 9 >= 3 and k != 8]
+    got = [[int(x) for x in g.x[np.unique(g.member, return_index=True)[1], 0]] for g in fit]
+    epochs = [sum(got[: len(got) // 2], []), sum(got[len(got) // 2 :], [])]
+    assert [sorted(e) for e in epochs] == [train, train] and epochs[0] != epochs[1]
+    assert max(map(len, got)) <= 64 and min(map(len, got)) >= 62
+    counts = {c: [k % 7 for k in train].count(c) for c in range(7)}
+    whole = {c: len(train) / 2 / len([d for d in range(7) if d % 2 == c % 2]) / counts[c] for c in range(7)}
+    for ids, (y, w) in zip(got, used, strict=True):
+        assert y.tolist() == [k % 7 % 2 for k in ids] and w == pytest.approx([whole[k % 7] for k in ids])
+    assert checked == [1500, 1500] and not compared
+    assert scored.columns == ["sample_id", "score"] and scored.select("sample_id").distinct().count() == scored.count() == n
+    spark.catalog.clearCache()
+
+
+def test_packed_graphs_are_the_same_graphs(spark):
+    from windlass.models.networks import _average_precision, packed, score_packed, train_packed
+
+    rng = np.random.default_rng(5)
+    sizes = [3, 1, 64, 2, 7] * 60
+    xs = [rng.normal(size=(k, 13)).astype("f4") for k in sizes]
+    ends = [None if k < 3 else [(0, k - 1), (k - 1, 0), (1, 2)] for k in sizes]
+    ends[5], xs[1][0, 4] = [], np.nan
+    rows = spark.createDataFrame(
+        [(f"s{k:03}", "train" if k % 2 else "validation", k // 2 % 2 if k != 7 else None, 1.0, [(i, v.tolist()) for i, v in enumerate(x)], e) for k, (x, e) in enumerate(zip(xs, ends))],
+        "sample_id string, split string, label int, weight double, nodes array<struct<node_id: int, x: array<float>>>, edges array<struct<src: int, dst: int>>",
+    )
+    some = packed(rows).orderBy("sample_id").toPandas()
+    one, two = Graphs.of(rows.orderBy("sample_id").toPandas()), Graphs.unpacked(some["nodes"].tolist(), some["ends"].tolist())
+    assert one.n == two.n and all(np.array_equal(getattr(one, c), getattr(two, c), equal_nan=True) for c in ("x", "src", "dst", "member"))
+    net, whole = GraphSAGE(hidden=3), packed(rows.where("sample_id <> 's001'"))
+    score = lambda df: {r.sample_id: r.score for r in df.collect()}
+    assert score(score_packed(net, whole, most=7)) == pytest.approx(score(score_network(net, rows.where("sample_id <> 's001'"))), abs=1e-12)
+    curve = train_packed(net, whole, epochs=1)
+    found = score_packed(net, whole.where("split = 'validation'")).toPandas()
+    assert curve[0]["auprc"] == pytest.approx(_average_precision(found["label"].to_numpy(), found["score"].to_numpy()), abs=1e-9)
+    with pytest.raises(ValueError, match="train split"):
+        train_packed(net, whole.where("split = 'validation'"))

@@ -729,14 +729,27 @@ def bilstm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _trained(BiLSTM(hidden=8), Sequences, sequence.sequences(sequence_table(spark, sf_dir), size=SIZE), spark, sf_dir, epochs=2)
 
 
+def _trained_on_all(net, rows: DataFrame, spark: SparkSession, sf_dir: str, epochs: int) -> DataFrame:
+    """Train on all train windows, choose the epoch on all validation ones, score all."""
+    from .models import networks
+
+    labels = _labels(spark, sf_dir).persist()  # a row a window; counted by recording and class
+    weights = sampling.recording_weights(labels.where("split = 'train' AND label IS NOT NULL")).select("sample_id", "weight")
+    labelled = labels.join(weights, "sample_id", "left").select("sample_id", "split", "label", "weight")
+    whole = networks.packed(rows.join(labelled, "sample_id", "left")).persist()  # read in each epoch, for choosing it and for scoring
+    networks.train_packed(net, whole, epochs=epochs)
+    labels.unpersist()
+    return networks.score_packed(net, whole).select("sample_id", "score")
+
+
 @query()
 def sage_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Graph network, trained for a few epochs; scores of all windows."""
-    from .models.networks import Graphs, GraphSAGE
+    from .models.networks import GraphSAGE
 
     rows = sequence_table(spark, sf_dir)
     n, e = graph.nodes(rows), graph.edges(rows)
-    return _trained(GraphSAGE(hidden=8), Graphs, graph.graphs(graph.node_features(n, e), graph.edge_list(n, e)), spark, sf_dir, epochs=2)
+    return _trained_on_all(GraphSAGE(hidden=8), graph.graphs(graph.node_features(n, e), graph.edge_list(n, e)), spark, sf_dir, epochs=2)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
