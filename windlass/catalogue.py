@@ -731,14 +731,16 @@ def bilstm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _trained_on_all(net, rows: DataFrame, spark: SparkSession, sf_dir: str, epochs: int) -> DataFrame:
     """Train on all train windows, choose the epoch on all validation ones, score all."""
+    from .llm.scratch import Scratch
     from .models import networks
 
     labels = _labels(spark, sf_dir).persist()  # a row a window; counted by recording and class
     weights = sampling.recording_weights(labels.where("split = 'train' AND label IS NOT NULL")).select("sample_id", "weight")
     labelled = labels.join(weights, "sample_id", "left").select("sample_id", "split", "label", "weight")
-    whole = networks.packed(rows.join(labelled, "sample_id", "left")).persist()  # read in each epoch, for choosing it and for scoring
-    networks.train_packed(net, whole, epochs=epochs)
+    # read in each epoch, for choosing it and for scoring: as a table, since each of the many jobs of an epoch would walk a longer lineage
+    whole = Scratch(spark, "networks").cut(networks.packed(rows.join(labelled, "sample_id", "left")), "windows")
     labels.unpersist()
+    networks.train_packed(net, whole, epochs=epochs)
     return networks.score_packed(net, whole).select("sample_id", "score")
 
 
